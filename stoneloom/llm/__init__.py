@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, packing, sharding, topk_search
 
-MODULES = [exact_dedup]
+MODULES = [exact_dedup, sharding, topk_search, packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
