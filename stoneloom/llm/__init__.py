@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sharding, topk_search
+from . import chat_format, exact_dedup, html_extract, packing, sharding, topk_search
 
-MODULES = [exact_dedup, sharding, topk_search, packing]
+MODULES = [exact_dedup, sharding, topk_search, packing, html_extract, chat_format]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
