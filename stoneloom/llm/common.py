@@ -57,3 +57,52 @@ def lower_ascii(text: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A side of a join may be sent to every task up to so many rows of a few longs; beyond, it is shuffled.
+BROADCAST_ROWS = 1 << 18
+#: Groups with one row in so many are at most that many, whatever the input.
+HOT_SHARE = 1024
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its checked number of rows is within the bound."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
+    """Left join of every row to its group by ``key``, with no hot key.
+
+    Groups with at least one row in ``HOT_SHARE`` are broadcast and their rows dealt by
+    ``spread``; any other key has fewer rows than that share. The group's columns other than
+    ``key`` come as struct ``group``."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    payload = F.struct(*[c for c in groups.columns if c != key])
+    hot = groups.where(F.col(size) * HOT_SHARE >= total).select(F.col(key).alias("_hot_key"), payload.alias("_hot"))
+    cold = groups.select(F.col(key).alias("_key"), payload.alias("_cold"))
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    # an answered row needs no partner: its key becomes one that no group has
+    free = F.unhex(F.hex(F.xxhash64(F.col(spread))))
+    found = found.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(free))
+    return found.join(cold, "_key", "left").select(*rows.columns, F.coalesce("_hot", "_cold").alias("group"))
+
+
+def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
+    """(node, root) of every node of ``edges`` (u, v); root is the smallest id reachable.
+
+    Smallest labels spread along edges while labels are replaced by the labels of their nodes,
+    so that distances halve; every round is written to the shared folder."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = persist_table(both.where("u <> v").distinct(), f"{label}-edges")
+    labels = persist_table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("root")).withColumnRenamed("u", "node"), label)
+    while True:
+        at = labels.select(F.col("node").alias("v"), F.col("root").alias("near"))
+        spread = both.join(at, "v").groupBy("u").agg(F.min("near").alias("near"))
+        step = labels.join(spread.withColumnRenamed("u", "node"), "node").select("node", "root", F.least("root", "near").alias("to"))
+        jump = labels.select(F.col("node").alias("to"), F.col("root").alias("over"))
+        step = persist_table(
+            step.join(jump, "to", "left").select("node", F.col("root").alias("old"), F.least("to", "over").alias("root")), label
+        )
+        labels = step.select("node", "root")
+        if not step.where("old <> root").limit(1).count():
+            return labels
