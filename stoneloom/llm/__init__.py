@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_stream, chat_format, exact_dedup, html_extract, minhash_dedup, packing, quality, sharding, topk_search
+from . import bpe_stream, chat_format, exact_dedup, gru_lm, html_extract, minhash_dedup, packing, quality, sharding, topk_search
 
-MODULES = [exact_dedup, sharding, topk_search, packing, bpe_stream, html_extract, chat_format, minhash_dedup, quality]
+MODULES = [exact_dedup, sharding, topk_search, packing, bpe_stream, html_extract, chat_format, minhash_dedup, quality, gru_lm]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
