@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stoneloom.llm.common import persist_table, small_side, table
+from stoneloom.llm.common import small_side, table
 from stoneloom.llm.exact_dedup import exact_dedup
 from stoneloom.llm.minhash_dedup import near_duplicates
 from stoneloom.llm.packing import digests, pack
 from stoneloom.llm.quality import keep_good
+from stoneloom.scratch import persist_table
 
 
 def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:

@@ -1,60 +1,20 @@
-"""Shared folders, table access and small column helpers of the corpus operators."""
+"""Table access, joins to groups and components for the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import persist_table
+
 #: White space of the contracts: blank and the controls 0x09 to 0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-_scratch: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where
-    that is unset (tests, one machine) a temporary folder put into the setting."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="stoneloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def persist_table(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at
-    files that outlive any executor, and later readers prune columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_scratch(spark: SparkSession) -> None:
-    """Delete what ``persist_table`` wrote; call it once results have been stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only; other letters stay."""
-    return F.translate(text, UPPER, UPPER.lower())
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

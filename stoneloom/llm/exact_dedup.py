@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, persist_table, shuffle_width, table
+from ..scratch import persist_table
+from .common import SPACE, shuffle_width, table
 
 HOT_SHARE = 1024
 

@@ -37,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, connected_components, persist_table, small_side, table
+from ..scratch import persist_table
+from .common import attach_groups, connected_components, small_side, table
 
 WORDS = 5
 BANDS, ROWS, BITS = 32, 5, 4
