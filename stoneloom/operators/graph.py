@@ -157,6 +157,6 @@ def in_links(edges: DataFrame) -> DataFrame:
 
 def line_in_links(lines: DataFrame) -> DataFrame:
     """(id, n) from graph lines: words from the third on, in lower case."""
-    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split("value", r"\s+"), "")
     links = F.transform(F.slice(words, 3, F.greatest(F.size(words), F.lit(1))), F.lower)
     return lines.select(F.explode(links).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))

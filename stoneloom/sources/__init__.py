@@ -27,37 +27,34 @@ def lines_of(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("value", F.explode(F.split(text_col, "\n")))
 
 
-def _pairs(words: Column, start: int, first: str, second: str) -> Column:
-    """Words from ``start`` (0-based) on, two by two; a last word alone is left out."""
-    n = F.floor((F.size(words) - start) / 2).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(words[start + 2 * i].alias(first), words[start + 1 + 2 * i].alias(second)))
+def _pairs(text: Column) -> tuple[Column, ...]:
+    """Words two by two, as two arrays; a last word alone is left out."""
+    pair = F.lit(r"(\S+)\s+(\S+)")
+    return tuple(F.regexp_extract_all(text, pair, F.lit(i)) for i in (1, 2))
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(line, r"\s+"), "")
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
     """(key, v) from lines of ``key int key int ...``; values that are no integers are left out."""
-    pair = F.explode(_pairs(_words(F.col("value")), 0, "key", "v")).alias("p")
-    return lines.select(pair).select("p.key", F.col("p.v").try_cast("int").alias("v")).where("v IS NOT NULL")
+    keys, values = _pairs(F.col("value"))
+    pairs = lines.select(F.explode(F.arrays_zip(keys.alias("key"), values.alias("v"))).alias("p"))
+    return pairs.select("p.key", F.col("p.v").try_cast("int").alias("v")).where("v IS NOT NULL")
 
 
 def parse_weighted_graph(lines: DataFrame, value: str = "double") -> DataFrame:
     """(id, value, adj) from ``id value (neighbour weight)*``; brackets and commas may stand around
     them. Lines of fewer than two words become id 0 without neighbours."""
-    words = _words(F.regexp_replace("value", r"[\[\](){}<>,;]", " "))
-    adj = F.transform(
-        _pairs(words, 2, "id", "w"),
-        lambda p: F.struct(p["id"].try_cast("int").alias("id"), p["w"].try_cast(value).alias("w")),
-    )
+    line = F.trim(F.regexp_replace("value", r"[\s\[\](){}<>,;]+", " "))
+    words = F.split(line, " ")
     whole = F.size(words) >= 2
-    none = F.lit(None)
+    ids, weights = _pairs(F.regexp_replace(line, r"^\S+\s*\S*\s*", ""))
     return lines.select(
-        F.when(whole, words[0].try_cast("int")).otherwise(0).alias("id"),
-        F.when(whole, words[1].try_cast(value)).otherwise(none.cast(value)).alias("value"),
-        F.when(whole, adj).otherwise(F.array().cast(f"array<struct<id:int,w:{value}>>")).alias("adj"),
+        F.when(whole, F.get(words, F.lit(0)).try_cast("int")).otherwise(0).alias("id"),
+        F.get(words, F.lit(1)).try_cast(value).alias("value"),
+        F.arrays_zip(ids.try_cast("array<int>").alias("id"), weights.try_cast(f"array<{value}>").alias("w")).alias("adj"),
     )
 
 
@@ -65,8 +62,8 @@ def parse_link_graph(lines: DataFrame) -> DataFrame:
     """(id, pr, links) from ``id rank link*``."""
     words = _words(F.col("value"))
     return lines.select(
-        words[0].try_cast("long").alias("id"),
-        words[1].try_cast("double").alias("pr"),
+        F.get(words, F.lit(0)).try_cast("long").alias("id"),
+        F.get(words, F.lit(1)).try_cast("double").alias("pr"),
         F.transform(F.slice(words, 3, F.greatest(F.size(words), F.lit(1))), lambda w: w.try_cast("long")).alias("links"),
     ).where("id IS NOT NULL")
 
@@ -74,7 +71,7 @@ def parse_link_graph(lines: DataFrame) -> DataFrame:
 def parse_text_graph(lines: DataFrame) -> DataFrame:
     """(id, links) from ``id neighbour*`` with text ids."""
     words = _words(F.col("value"))
-    return lines.where(F.size(words) > 0).select(words[0].alias("id"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("links"))
+    return lines.where(F.size(words) > 0).select(F.get(words, F.lit(0)).alias("id"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("links"))
 
 
 def parse_points(lines: DataFrame) -> DataFrame:
@@ -89,7 +86,7 @@ def parse_points(lines: DataFrame) -> DataFrame:
 def parse_title_map(lines: DataFrame) -> DataFrame:
     """(title, docid) from two fields with a tab between; other lines are left out."""
     fields = F.split("value", "\t")
-    return lines.where(F.size(fields) == 2).select(fields[0].alias("title"), fields[1].try_cast("long").alias("docid"))
+    return lines.where(F.size(fields) == 2).select(F.get(fields, F.lit(0)).alias("title"), F.get(fields, F.lit(1)).try_cast("long").alias("docid"))
 
 
 def parse_ids(lines: DataFrame) -> DataFrame:
@@ -102,7 +99,7 @@ def parse_cities(lines: DataFrame) -> DataFrame:
     line = lines.select(wiki.city_line(F.col("value")).alias("line"))
     words = F.split("line", r"\s+")
     return line.select(
-        words[0].alias("f0"),
+        F.get(words, F.lit(0)).alias("f0"),
         F.try_element_at(words, F.lit(2)).alias("f1"),
         F.when(F.size(words) > 3, F.array_join(F.slice(words, 3, F.greatest(F.size(words) - 3, F.lit(0))), "_")).alias("city"),
         F.try_element_at(words, F.lit(-1)).alias("country"),

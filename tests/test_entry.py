@@ -1,0 +1,52 @@
+"""The queries against their SQL, on the smallest tables."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+import __spark_entry__
+from stoneloom import plans
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+def test_query_against_sql(spark, duck, name):
+    df = plans.queries()[name](spark, DATA)
+    cols = sorted(df.columns)
+    cur = duck.execute(plans.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == cols
+    want = sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in cur.fetchall())
+    assert sorted(repr(tuple(r)) for r in df.select(*cols).collect()) == want
+
+
+def test_entry(spark):
+    assert __spark_entry__.entry(spark).count() == 20
+
+
+def test_every_sql_has_a_query():
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_streamed_counts(spark, tmp_path):
+    from stoneloom.streaming import stream_term_counts
+
+    (tmp_path / "a.txt").write_text("b a\na")
+    stream = stream_term_counts(spark, str(tmp_path))
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("terms").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r["term"]: r["n"] for r in spark.table("terms").collect()} == {"a": 2, "b": 1}

@@ -1,0 +1,135 @@
+from __future__ import annotations
+
+import bz2
+
+import pytest
+from pyspark.sql import functions as F
+
+from stoneloom.functions import wiki
+from stoneloom.operators import corpus, graph
+from stoneloom.plans import pages as page_plans
+from stoneloom.sources import page_columns, parse_cities, parse_ids, parse_title_map, read_pages, write_cities
+
+
+def page(spark, text, language="en", title="A", ns="<ns>0</ns>", more=""):
+    body = "" if text is None else f'<text xml:space="preserve">{text}</text>'
+    raw = f"<page><title>{title}</title>{ns}<id>7</id><revision><id>8</id>{body}{more}</revision></page>"
+    return page_columns(spark.createDataFrame([(raw,)], "raw string"), language).first()
+
+
+@pytest.mark.parametrize(
+    "text,language,want",
+    [
+        ("#REDIRECT [[B]]", "en", True),
+        ("#redirect [[B]]", "en", True),
+        ("#Redirect [[B]]", "en", False),
+        ("#Weiterleitung [[B]]", "de", True),
+        ("#Weiterleitung [[B]]", "en", False),
+        ("#omdirigering [[B]]", "sv", True),
+        (" #REDIRECT", "en", False),
+    ],
+)
+def test_redirects(spark, text, language, want):
+    assert page(spark, text, language)["is_redirect"] is want
+
+
+@pytest.mark.parametrize(
+    "text,language,want",
+    [
+        ("{{Disambiguation}}", "en", True),
+        ("{{Begriffsklärung}}", "de", True),
+        ("{{förgrening}} x", "sv", True),
+        ("x {{förgrening}}", "sv", False),
+        ("{{Disambiguation}}", "de", False),
+        ("{{disambig x Cat=y}}", "zh", True),
+        ("{{Rozcestník}}", "cs", True),
+    ],
+)
+def test_disambiguation(spark, text, language, want):
+    assert page(spark, text, language)["is_disambiguation"] is want
+
+
+def test_flags(spark):
+    assert page(spark, "x", ns="")["is_article"] is True
+    assert page(spark, "x", "de", ns="")["is_article"] is False
+    assert page(spark, "x", ns="<ns>1</ns>")["is_article"] is False
+    assert page(spark, "x {{bio-stub}}")["is_stub"] is True
+    assert page(spark, None)["is_empty"] is True and page(spark, "")["is_empty"] is False
+    assert page(spark, "x")["page_id"] == 7
+    assert page(spark, "x", title="A &amp; B")["title"] == "A & B"
+    assert page(spark, "x", "xx")["language"] == "xx" and page(spark, "x", None)["language"] == "unk"
+
+
+def test_links(spark):
+    text = "[[A]] [[B|b]] [[C#s]] [[#s|x]] [[File:p.png]] [[]] [[ D ]] [[A]]"
+    df = spark.createDataFrame([(text,)], "raw string")
+    assert df.select(wiki.link_destinations(F.col("raw"))).first()[0] == ["A", "B", "C", "D", "A"]
+
+
+def test_interlanguage_links(spark):
+    df = spark.createDataFrame([("[[de:Haus]] [[fr:a\nb]] [[es:]]",)], "raw string")
+    found = df.select(*[wiki.interlanguage_link(F.col("raw"), x).alias(x) for x in ("de", "fr", "es", "cs")]).first()
+    assert tuple(found) == ("Haus", None, None, None)
+
+
+def test_content(spark):
+    text = "[[de:Haus]]'''A''' [[B|b]] &amp;lt;i&amp;gt; <!-- x\n http://a.b --> http://c.d/e {{t}} <ref>r</ref>end"
+    df = spark.createDataFrame([("T", text)], "t string, m string")
+    got = df.select(wiki.content(F.col("t"), F.col("m"))).first()[0]
+    assert got.split() == ["T", "A", "b", "end"]
+    assert df.select(wiki.display_content(F.col("t"), F.col("m"))).first()[0].startswith("<h1>T</h1>\n")
+
+
+def test_dump_files(spark, tmp_path):
+    parts = [f'<page><title>P{i}</title><ns>0</ns><id>{i}</id><text xml:space="preserve">[[P{i + 1}]]\nx</text></page>' for i in range(50)]
+    dump = "<mediawiki>\n" + "\n".join(parts) + "\n</mediawiki>"
+    (tmp_path / "d.xml").write_text(dump)
+    (tmp_path / "d.xml.bz2").write_bytes(bz2.compress(dump.encode()))
+    for name in ("d.xml", "d.xml.bz2"):
+        found = read_pages(spark, str(tmp_path / name))
+        assert sorted(r["page_id"] for r in found.select("page_id").collect()) == list(range(50))
+    whole = read_pages(spark, str(tmp_path / "d.xml"))
+    links = corpus.link_graph(whole, corpus.title_map(whole))
+    ranked = graph.pagerank_two_phase(links, graph.edges_of(links), links.count(), 2)
+    assert ranked.df.count() == 50
+
+
+def test_link_graph(spark):
+    pages = page_plans.wiki_dump(spark)
+    titles = spark.createDataFrame([("a", 1), ("b", 2), ("b", 1)], "title string, page_id long")
+    text = "<page><title>X</title><id>1</id><text xml:space=\"preserve\">[[B]] [[A]] [[b]] [[C]]</text></page>"
+    one = page_columns(spark.createDataFrame([(text,)], "raw string"))
+    assert corpus.link_graph(one, titles).first()["links"] == [2, 1]
+    titles = corpus.title_map(pages)
+    assert [tuple(r) for r in titles.collect()] == [("a & b", 1), ("c", 3), ("talk:c", 4)]
+    found = {r["id"]: r["links"] for r in corpus.link_graph(pages, titles).collect()}
+    # links are those of the XML, where the ampersand is escaped; empty pages are out, redirects in
+    assert found == {1: [3], 2: [], 3: [1], 4: [3]}
+
+
+def test_filters(spark, rows):
+    pages = page_plans.wiki_dump(spark)
+    ids = parse_ids(spark.createDataFrame([("3",), (" 9 ",), ("x",), ("3",)], "value string"))
+    assert rows(corpus.find_pages(pages, ids), "page_id", "is_disambiguation") == [(3, True)]
+    assert rows(corpus.find_redirects(pages), "page_id") == [(2,)]
+    assert rows(corpus.separate_pages(pages.union(pages), distinct=True), "doc_id") == [(1,), (2,), (3,), (4,)]
+    twice = corpus.title_map(pages.union(pages))
+    assert rows(corpus.duplicate_titles(twice)) == [("a & b", 2), ("c", 2), ("talk:c", 2)]
+    lines = spark.createDataFrame([("a\t1",), ("b",), ("c\t2\t3",)], "value string")
+    assert rows(parse_title_map(lines)) == [("a", 1)]
+
+
+def test_cities(spark, tmp_path):
+    lines = spark.createDataFrame([("1 2 New York City USA",), ("1 2 Paris FR",), ("3 4 Los Angeles USA",), ("x",)], "value string")
+    found = parse_cities(lines)
+    assert [r["line"] for r in found.collect()] == ["1 2 New_York_City USA", "1 2 Paris FR", "3 4 Los_Angeles USA", "x"]
+    write_cities(found, str(tmp_path / "many"))
+    assert (tmp_path / "many" / "country=USA").is_dir()
+    write_cities(found, str(tmp_path / "one"), one_file=True)
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1
+
+
+def test_links_join_by_broadcast(spark):
+    pages = page_plans.wiki_dump(spark)
+    plan = corpus.link_graph(pages, corpus.title_map(pages))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan
