@@ -19,6 +19,7 @@ same; other columns play no part. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import operator
 import re
 import zlib
@@ -36,6 +37,8 @@ from .common import table
 DIMENSIONS = 1024
 SAMPLE = 2048
 THRESHOLD = 0.5
+#: Codes of words that a Python worker remembers.
+CODES = 1 << 17
 #: Votes need so many words.
 LEAST_WORDS = 8
 NONE, FINE, JUNK = 0, 1, 2
@@ -52,10 +55,43 @@ def word_shape(word: str) -> str:
     return _RUN.sub(r"\1", signs)[:12]
 
 
+def _plain(word: str) -> tuple[str, str] | None:
+    """Shape and tail of a word of letters of one common pattern with at most one full stop or comma."""
+    tail = word[-1] if word[-1] in ".," else ""
+    body = word[:-1] if tail else word
+    if not body.isalpha():
+        return None
+    if body.islower():
+        return "a", tail
+    if body[0].isupper() and (len(body) == 1 or body[1:].islower()):
+        return ("A" if len(body) == 1 else "Aa"), tail
+    return None
+
+
+@functools.lru_cache(1 << 14)
+def _shape_code(shape: str) -> int:
+    return zlib.crc32(shape.encode()) % DIMENSIONS
+
+
 class _Codes(dict):
     def __missing__(self, word: str) -> int:
+        plain = _plain(word)
+        if plain:  # what follows gives the same, only slower
+            shape, tail = plain
+            n = len(word) - len(tail)
+            code = _shape_code(shape + tail) | LETTERS | min(len(word), 255) << 20 | len(tail) << 28
+            code |= SHORT if n <= 3 else 0
+            code |= ENDS if tail == "." else 0
+        else:
+            code = self.slow(word)
+        if len(word) <= 64:
+            self[word] = code
+        return code
+
+    @staticmethod
+    def slow(word: str) -> int:
         letters = [c for c in word if c.isalpha()]
-        code = zlib.crc32(word_shape(word).encode()) % DIMENSIONS
+        code = _shape_code(word_shape(word))
         if letters:
             code |= LETTERS
             if _SYMBOL.search(word):
@@ -71,8 +107,6 @@ class _Codes(dict):
         code |= min(len(word), 255) << 20 | min(sum(not c.isalnum() for c in word), 255) << 28
         if word[-1] in ".!?:。！？…":
             code |= ENDS
-        if len(word) <= 64:
-            self[word] = code
         return code
 
 
@@ -81,7 +115,7 @@ _codes = _Codes()
 
 def read_words(text: str | None) -> tuple[list[str], np.ndarray]:
     words = (text or "").split()
-    if len(_codes) > 1 << 19:
+    if len(_codes) > CODES:
         _codes.clear()
     return words, np.fromiter(map(_codes.__getitem__, words), np.int64, len(words))
 
