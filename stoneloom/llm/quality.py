@@ -41,6 +41,9 @@ THRESHOLD = 0.5
 CODES = 1 << 17
 #: Votes need so many words.
 LEAST_WORDS = 8
+#: The share of fine texts that a labeller may call junk is held to this. Without it, kinds of junk that
+#: different labellers know would not be taken for one class.
+FALSE_ALARMS = 0.02
 NONE, FINE, JUNK = 0, 1, 2
 
 # Facts of a word above the bits of its hashed shape.
@@ -214,8 +217,8 @@ class LabelModel:
             for y in (0, 1):
                 said = np.stack([(weight[y][:, None] * (v == vote)).sum(axis=0) for vote in (FINE, JUNK)], axis=1) + 1
                 out.tables[:, y, FINE:] = said / said.sum(axis=1, keepdims=True)
-            # a labeller is never taken to mean the opposite of what it says
-            out.tables[:, 0, JUNK] = np.minimum(out.tables[:, 0, JUNK], out.tables[:, 1, JUNK])
+            # each labeller knows one kind of junk: its alarms are rarely false, its silence means little
+            out.tables[:, 0, JUNK] = np.minimum(np.minimum(out.tables[:, 0, JUNK], FALSE_ALARMS), out.tables[:, 1, JUNK])
             out.tables[:, 0, FINE] = 1 - out.tables[:, 0, JUNK]
             p = out.posterior(patterns)
             now = float((counts * p).sum())
@@ -277,7 +280,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     spark = docs.sparkSession
     rows = _columns(docs, id_col, text_col)
     voted = persist_table(rows.mapInArrow(_patterns, "doc_id long, pattern int"), "quality-votes")
-    counted = voted.groupBy("pattern").count().collect()  # at most 3 ** 9 rows
+    counted = sorted(voted.groupBy("pattern").count().collect())  # at most 3 ** 9 rows
     patterns, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], float)
     if not len(patterns):
         return Classifier(LabelModel(), np.zeros(DIMENSIONS, np.float32), -1.0), voted.withColumn("label", F.lit(0.0))
