@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+
+from stoneloom.llm import exact_dedup as op
+
+SCHEMA = "doc_id long, text string"
+
+
+def brute(docs):
+    norm = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for i, t in docs}
+    out = []
+    for i, _ in docs:
+        same = [j for j, _ in docs if norm[j] == norm[i]]
+        out.append((i, min(same), len(same), i == min(same), hashlib.sha256(norm[i].encode()).hexdigest()))
+    return sorted(out)
+
+
+CASES = [
+    (5, "a  b"), (3, "a\tb"), (9, " a b"), (4, None), (2, ""), (7, "é\x0b x"), (8, "é x"), (10, "é x"),
+    (11, "long " * 200_000), (12, "long  " * 200_000), (13, " "), (14, "\n\n"),
+]
+
+
+@pytest.mark.parametrize("capacity,depth", [(1 << 20, 16), (1, 16), (1, 2), (3, 0)])
+def test_against_brute_force(spark, rows, capacity, depth):
+    found = op.exact_dedup(spark.createDataFrame(CASES, SCHEMA), capacity=capacity, max_depth=depth)
+    assert rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute(CASES), key=repr)
+
+
+def test_hot_group_and_many_texts(spark, rows):
+    docs = [(i, "hot" if i % 3 == 0 else f"t {i % 700}") for i in range(4000)]
+    found = op.exact_dedup(spark.createDataFrame(docs, SCHEMA), capacity=50)
+    assert rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute(docs), key=repr)
+    assert found.select("bucket").distinct().count() > 8
+
+
+def test_empty_repeated_and_null_ids(spark, rows):
+    assert op.exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (None, "y")], SCHEMA)
+    got = rows(op.exact_dedup(df), "doc_id", "keep_id", "group_size", "kept")
+    assert got == [(1, 1, 4 - 1, True), (1, 1, 3, True), (None, 1, 3, False), (None, None, 1, False)]
+
+
+def test_other_columns_do_not_matter(spark, rows):
+    df = spark.createDataFrame([(1, "x", 5, "h"), (2, "x", 6, "t")], "doc_id long, text string, h long, sha string")
+    df = df.withColumnsRenamed({"sha": "keep_id"})
+    assert rows(op.exact_dedup(df), "doc_id", "kept") == [(1, True), (2, False)]
+
+
+def test_directory_doubles_only_where_it_must():
+    d = op.Directory.build({0: 5, 1: 5, 15: 1}, slot_bits=4, capacity=6)
+    assert d.depth == 4 and len(d.cells) == 16
+    assert d.cells[0] == (4, 0) and d.cells[1] == (4, 1) and d.cells[8] == d.cells[15] == (1, 1)
+    numbers = d.buckets()
+    assert [numbers[i] for i in range(16)] == sorted(numbers.values())
+
+
+def test_no_python_in_the_plan(spark):
+    found = op.exact_dedup(spark.createDataFrame(CASES[:3], SCHEMA))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)

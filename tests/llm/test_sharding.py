@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from stoneloom.llm import sharding as op
+
+SCHEMA = "doc_id long, text string, shard string, slot long"
+
+
+def table(spark, docs):
+    return spark.createDataFrame([(i, t, "clash", -1) for i, t in docs], SCHEMA)
+
+
+def test_laws(spark):
+    docs = [(i, None if i % 50 == 0 else f"text é {i % 40} " * (i % 9)) for i in range(3000)]
+    for size in (32 << 20, 2000):
+        found = op.shuffle_shards(table(spark, docs), bucket_bytes=size).select("shard", "slot", "size", "crc", "sub", "record.doc_id").collect()
+        assert sorted(r["doc_id"] for r in found) == list(range(3000))
+        for s in range(op.SHARDS):
+            assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
+        text = dict(docs)
+        assert all(r["size"] == len((text[r["doc_id"]] or "").encode()) + 1 for r in found)
+        assert all(r["crc"] == zlib.crc32((text[r["doc_id"]] or "").encode()) for r in found)
+    assert len({r["sub"] for r in found}) > 4
+    counts = Counter(r["shard"] for r in found)
+    assert max(counts.values()) < 1.5 * 3000 / op.SHARDS
+    by_slot = [r["doc_id"] for r in sorted(found, key=lambda r: (r["shard"], r["slot"]))]
+    rises = sum(a < b for a, b in zip(by_slot, by_slot[1:], strict=False))
+    assert 0.4 < rises / 3000 < 0.6  # no order is left
+
+
+def test_same_again_whatever_the_input_order(spark):
+    docs = [(i, f"t{i}") for i in range(300)]
+    a, b = (
+        {(r["shard"], r["slot"]): r["doc_id"] for r in op.shuffle_shards(table(spark, d)).select("shard", "slot", "record.doc_id").collect()}
+        for d in (docs, docs[::-1])
+    )
+    assert a == b
+
+
+def test_one_more_shard_takes_rows_into_itself_only(spark):
+    ids = spark.range(5000)
+    both = ids.select(op.rendezvous(F.col("id"), 16, 17).alias("a"), op.rendezvous(F.col("id"), 17, 17).alias("b")).collect()
+    moved = [r for r in both if r["a"] != r["b"]]
+    assert all(r["b"] == 16 for r in moved) and 200 < len(moved) < 400
+
+
+def test_edges(spark):
+    assert op.shuffle_shards(table(spark, [])).count() == 0
+    odd = [(None, "a"), (None, "a"), (1, "b"), (1, "b"), (2, "x" * 500_000)]
+    got = op.shuffle_shards(table(spark, odd)).select("shard", "slot", "record.doc_id", F.col("record.shard").alias("own")).collect()
+    assert len(got) == 5 and {r["own"] for r in got} == {"clash"}
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) == 1
+
+
+def test_written_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "doc_id long, text string")
+    op.write_shards(op.shuffle_shards(docs, shards=4), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 100 and back.select("shard").distinct().count() == 4
