@@ -54,39 +54,49 @@ NOISE = set(
     " footer foot footers masthead topbar toolbar header headers"
     " comment comments commentlist discussion disqus reply replies respond reactions"
     " cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall"
-    " share sharing social follow tags copyright legal disclaimer form search".split()
+    " share sharing social follow tags copyright legal disclaimer form search warning adsbygoogle outbrain taboola feedback thread".split()
 )
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+ABOUT = {"has", "with", "no", "not", "without", "show", "hide", "is"}
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORDS = re.compile(r"[a-z]+(?=[^a-z]|$)|[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("depth", "kind", "links", "parent", "points", "size", "skip")
+    __slots__ = ("depth", "head", "kind", "links", "parent", "points", "size", "skip")
 
-    def __init__(self, kind: str, parent: Node | None, skip: bool):
-        self.kind, self.parent, self.skip = kind, parent, skip
+    def __init__(self, kind: str, parent: Node | None, skip: bool, head: bool = False):
+        self.kind, self.parent, self.skip, self.head = kind, parent, skip, head
         self.depth = parent.depth + 1 if parent else 0
         self.points, self.size, self.links = 0.0, 0, 0
 
 
-def noisy(kind: str, raw: str) -> bool:
-    """Whether an element's attributes say that it is no part of an article."""
+def noisy(kind: str, raw: str) -> str:
+    """What an element's attributes say against it: the word, or nothing."""
     if not raw or raw.isspace():
-        return False
+        return ""
     low = raw.lower()
     if not ("class" in low or "id" in low or "role" in low or "hidden" in low or "style" in low):
-        return False
+        return ""
     attrs = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(raw)}
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
+        return "hidden"
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
+        return "hidden"
     if kind in ("html", "body", "article", "main") or kind in HEADINGS:
-        return False
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(w.lower() in NOISE for w in WORDS.findall(names))
+        return ""
+    found = ""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        before = ""
+        for w in map(str.lower, WORDS.findall(name)):
+            # "has-sidebar" says something of what an element holds, not of what it is
+            if w in NOISE and before not in ABOUT:
+                if w not in ("header", "headers"):
+                    return w
+                found = w
+            before = w
+    return found
 
 
 def blocks_of(html: str) -> list[tuple[Node, str, int]]:
@@ -189,16 +199,14 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
             if kind == "html":
                 continue
         parent = stack[-1]
-        skip = parent.skip
+        skip, head = parent.skip, False
         if not skip:
-            skip = kind in DROP or noisy(kind, raw)
-            if kind == "header":
-                skip = not _within_article(parent)
-        elif parent.kind == "header":
-            skip = True
+            against = noisy(kind, raw)
+            head = kind == "header" or against in ("header", "headers")
+            skip = kind in DROP or (not _within_article(parent) if head else bool(against))
         if raw.endswith("/") and kind not in BLOCK:
             continue
-        stack.append(Node(kind, parent, skip))
+        stack.append(Node(kind, parent, skip, head))
         anchors += kind == "a"
     flush()
     return [b for b in out if not _in_header(b[0])]
@@ -217,7 +225,7 @@ def _in_header(node: Node) -> bool:
     if node.kind in HEADINGS:
         return False
     while node:
-        if node.kind == "header":
+        if node.head:
             return True
         node = node.parent
     return False
@@ -262,11 +270,14 @@ def main_text(html: str | None) -> str:
         if top.kind == "article":  # an article in several parts
             kept |= {id(x) for x in candidates if x.kind == "article" and x.parent is top.parent and 5 * score(x) >= score(top) and not _teaser(x)}
     else:
+        enough = score(best) / 5
+        best = _with_headings(best, found)
         kept = {id(best)}
+        said = {id(holder): text for holder, text, _ in found}
         for x in touched.values():
             if x.parent is best.parent and x is not best and x.parent is not None:
-                prose = x.kind in ("p", *HEADINGS) and 4 * x.links < max(1, x.size)
-                if prose or 5 * score(x) >= score(best):
+                prose = x.kind in HEADINGS or x.kind == "p" and (x.size >= 80 or not x.links and said.get(id(x), "")[-1:] in ".!?。！？…")
+                if prose and 4 * x.links < max(1, x.size) or score(x) >= enough:
                     kept.add(id(x))
     out = []
     for holder, text, linked in found:
@@ -282,6 +293,22 @@ def main_text(html: str | None) -> str:
     return "\n\n".join(out)
 
 
+def _inside(node: Node | None, top: Node) -> bool:
+    while node and node is not top:
+        node = node.parent
+    return node is top
+
+
+def _with_headings(best: Node, found: list[tuple[Node, str, int]]) -> Node:
+    """The furthest element around the best one that adds nothing but headings."""
+    while best.parent and best.parent.kind not in ("body", "html"):
+        wider = best.parent
+        if any(_inside(h, wider) and not _inside(h, best) and h.kind not in HEADINGS for h, _, _ in found):
+            break
+        best = wider
+    return best
+
+
 def _teaser(node: Node) -> bool:
     return 2 * node.links > node.size
 

@@ -25,6 +25,10 @@ WANT = f"Title\n\n{P1}\n\n{P2}"
         f"<div role='navigation'><p>{P1}</p></div><div>{BODY}</div>",
         f"<article><header>By one, today, and more<h1>Title</h1></header><p>{P1}</p><p>{P2}</p></article>",
         f"<article><h1>Title</h1><p><b>{P1}<br><p>{P2}</article>",
+        f"<article><div class='post-header'><h1>Title</h1>By one, at noon</div><p>{P1}</p><p>{P2}</p></article>",
+        f"<div class=wrap><h1>Title</h1><div class='content has-sidebar'><div class=text><p>{P1}</p><p>{P2}</p></div></div></div><div>x</div>",
+        f"<body><div class='content'>{BODY}</div><p>Copyright 2020</p><p><a href=x>More of this kind, and more, and more of it all</a></p>",
+        f"<body><div id=top class=header><h1>Site</h1></div><div>{BODY}</div><ins class=adsbygoogle>Buy this, now</ins></body>",
         f"<article><h1>Title</h1><section><p>{P1}</p></section><section><p>{P2}</p></section></article>",
         f"<!-- <p>{P1}</p> --><div>{BODY}</div><ul class=menu><li><a href=a>One</a><li><a href=b>Two</a></ul>",
         f"<table><tr><td><a href=a>A</a> <a href=b>B</a><td>{BODY}</table>",
