@@ -49,6 +49,8 @@ MODEL_WORDS, CLASS_WORDS = 1024, 32
 CLASSES = MODEL_WORDS // CLASS_WORDS
 KNOWN = 1 << 19
 STEPS, LANES = 16, 512
+#: Training: most lanes, and the updates that a stream should give at least, by several passes if it is short.
+TRAIN_LANES, UPDATES = 256, 128
 ROUNDS, SLICES = 2, 16
 #: Tokens that a task scores together.
 BATCH_TOKENS = 1 << 21
@@ -189,6 +191,12 @@ class Model:
         m.word_bias[v.own :] = -30
         return m
 
+    @property
+    def tame(self) -> bool:
+        """Whether no output can overflow, states being within 1; else maxima are taken off first."""
+        most = (np.abs(w).sum(axis=a).max() + np.abs(b).max() for w, a, b in ((self.to_class, 0, self.class_bias), (self.to_word, 1, self.word_bias)))
+        return max(most) < 70
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         g = h @ self.state
         zr = np.tanh(0.5 * (x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]))
@@ -203,11 +211,15 @@ class Model:
         """Natural log probabilities of (class, word within an own class) after states ``h``;
         ``word`` is the row of an own word. With ``grad`` also gradients of their mean, negated."""
         n = len(h)
-        logits = h @ self.to_class + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
+        tame = self.tame
+        p = h @ self.to_class
+        p += self.class_bias
+        if not tame:
+            p -= p.max(axis=1, keepdims=True)
+        out = p[np.arange(n), kind].astype(np.float64)
+        np.exp(p, out=p)
         total = p.sum(axis=1)
-        out = (logits[np.arange(n), kind] - np.log(total)).astype(np.float64)
+        out -= np.log(total)
         dh = None
         if grad is not None:
             p /= total[:, None]
@@ -224,8 +236,10 @@ class Model:
                 continue
             own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
             hc = h[rows]
-            q = hc @ self.to_word[own].T + self.word_bias[own]
-            q -= q.max(axis=1, keepdims=True)
+            q = hc @ self.to_word[own].T
+            q += self.word_bias[own]
+            if not tame:
+                q -= q.max(axis=1, keepdims=True)
             place, at = word[rows] - c * CLASS_WORDS, np.arange(len(rows))
             hit = q[at, place]
             np.exp(q, out=q)
@@ -242,9 +256,9 @@ class Model:
 
 
 def train_stream(model: Model, row: np.ndarray, kind: np.ndarray, starts: np.ndarray, rate: float) -> None:
-    """One pass over a stream of tokens, in place. ``starts``: whether a document starts there.
-    Lanes are chosen so that a short stream still gives some tens of updates."""
-    lanes = int(min(LANES, max(8, len(row) // (STEPS * 64))))
+    """Passes over a stream of tokens, in place. ``starts``: whether a document starts there.
+    Lanes are chosen so that one pass gives ``UPDATES``; a short stream has several passes."""
+    lanes = int(min(TRAIN_LANES, max(8, len(row) // (STEPS * UPDATES))))
     length = len(row) // lanes
     if length < 2:
         return
@@ -255,7 +269,7 @@ def train_stream(model: Model, row: np.ndarray, kind: np.ndarray, starts: np.nda
     feed[starts] = START
     h = np.zeros((lanes, HIDDEN), np.float32)
     first, second = Model.empty(), Model.empty()
-    windows = range(0, length, STEPS)
+    windows = [*range(0, length, STEPS)] * max(1, -(-UPDATES * STEPS // length))
     for t, a in enumerate(windows, 1):
         b = min(a + STEPS, length)
         x = model.table[feed[a:b]]
@@ -421,7 +435,7 @@ def fit(docs: DataFrame, shared, v: Vocabulary, rounds: int = ROUNDS, slices: in
         part = docs.where(F.pmod(F.xxhash64(F.lit(88), "doc_id"), F.lit(slices)) == k).select("text")
         weights = sc.broadcast(model.flat.tobytes())
         schema = "part int, n double, weights binary"
-        means = part.mapInArrow(_trainer(shared, weights, 0.02 / (k + 1)), schema).groupBy("part").applyInArrow(_mean, schema).toArrow()
+        means = part.mapInArrow(_trainer(shared, weights, 0.05 / (k + 1)), schema).groupBy("part").applyInArrow(_mean, schema).toArrow()
         if means.num_rows:
             n = np.array(means["n"].to_pylist())
             flats = np.stack([np.frombuffer(w, np.float32) for w in means["weights"].to_pylist()])
