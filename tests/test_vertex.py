@@ -1,0 +1,38 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stoneloom.operators import graph, vertex
+from stoneloom.operators.metrics import counted
+
+
+def test_shortest_paths(spark):
+    roads = spark.createDataFrame([(1, 2, 5), (1, 3, 1), (2, 4, 1), (3, 2, 1), (4, 1, 1), (3, 99, 1)], "src long, dst long, w long")
+    program, start = vertex.shortest_paths(1)
+    found = vertex.run(program, start(spark.createDataFrame([(i,) for i in range(1, 6)], "id long")), roads)
+    assert {r["id"]: r["value"] for r in found.df.collect()} == {1: 0, 2: 2, 3: 1, 4: 3, 5: None}
+    assert found.halted and found.aggregated[-1]["changed"] == 0
+
+
+def test_ranks_agree_with_the_vertex_form(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "src long, dst long")
+    n, a = 3, graph.ALPHA
+    program = vertex.VertexProgram(
+        message=F.col("value") * F.col("share"),
+        combine=F.sum,
+        # what node 3 keeps for itself is missing
+        compute=lambda step, seen: F.lit(a / n) + F.lit(1 - a) * (F.coalesce("message", F.lit(0.0)) + F.lit(seen.get("dead", 1.0) / n)),
+        aggregates={"dead": F.sum(F.when(F.col("id") == 3, F.col("value"))), "moved": F.sum(F.abs(F.col("value") - F.col("old")))},
+        rests=lambda step, seen: step >= 2,
+    )
+    start = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "id long, value double")
+    found = vertex.run(program, start, graph.with_shares(edges))
+    want = graph.pagerank_vertex(start.withColumnRenamed("value", "pr"), edges, 3, tolerance=None).df
+    assert found.supersteps == 3 and found.aggregated[-1]["moved"] > 0
+    assert {r["id"]: round(r["value"], 9) for r in found.df.collect()} == {r["id"]: round(r["pr"], 9) for r in want.collect()}
+
+
+def test_counters(spark):
+    df, seen = counted(spark.range(10), "ten", even=F.col("id") % 2 == 0)
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 10, "even": 5}
