@@ -14,6 +14,9 @@
    least one row in ``HOT_SHARE`` are at most ``HOT_SHARE`` entries, so these are broadcast and
    their rows are dealt by id; no other key has more than that share of rows.
 
+Entries are told apart by their bytes. A row names its entry by hash and SHA-256, so two texts that
+agreed in both but not in their bytes would be two entries with the same name; none are known.
+
 Defined results: a null text counts as empty; rows with the same id and text are one document
 and get the same values; a null id never wins over a number, and if all ids of a group are null
 the group has no kept row. Columns of the input other than id and text play no part, whatever
@@ -29,9 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..scratch import persist_table
-from .common import SPACE, shuffle_width, table
-
-HOT_SHARE = 1024
+from .common import HOT_SHARE, SPACE, shuffle_width, table
 
 
 @dataclass

@@ -44,6 +44,8 @@ WORDS = 5
 BANDS, ROWS, BITS = 32, 5, 4
 PERMUTATIONS = BANDS * ROWS
 TILE_DOCS, TILE_SHINGLES = 8192, 1 << 23
+#: Hashes of words that a Python worker remembers.
+WORD_HASHES = 1 << 17
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _MULTIPLY = _rng.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1)
@@ -72,7 +74,7 @@ def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
     # on bytes, lower() and split() know A-Z and the contract's white space only
     words = (text or "").encode().lower().split()
-    if len(_words) > 1 << 19:
+    if len(_words) > WORD_HASHES:
         _words.clear()
     n = len(words)
     if not n:
