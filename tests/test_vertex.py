@@ -20,9 +20,9 @@ def test_ranks_agree_with_the_vertex_form(spark):
     program = vertex.VertexProgram(
         message=F.col("value") * F.col("share"),
         combine=F.sum,
-        # what node 3 keeps for itself is missing
-        compute=lambda step, seen: F.lit(a / n) + F.lit(1 - a) * (F.coalesce("message", F.lit(0.0)) + F.lit(seen.get("dead", 1.0) / n)),
-        aggregates={"dead": F.sum(F.when(F.col("id") == 3, F.col("value"))), "moved": F.sum(F.abs(F.col("value") - F.col("old")))},
+        # what is missing is n less the rank that is sent; node 3 sends none, and of the first ranks 2 are sent
+        compute=lambda step, seen: F.lit(a / n) + F.lit(1 - a) * (F.coalesce("message", F.lit(0.0)) + F.lit((n - seen.get("sent", 2.0)) / n)),
+        aggregates={"sent": F.sum(F.when(F.col("id") != 3, F.col("value"))), "moved": F.sum(F.abs(F.col("value") - F.col("old")))},
         rests=lambda step, seen: step >= 2,
     )
     start = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0)], "id long, value double")
