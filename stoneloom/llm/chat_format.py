@@ -34,10 +34,9 @@ from .common import table
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Rests of the control strings by first character; no rest holds a first character, so matches can't overlap.
 CONTROLS = {
-    "<": ["s>", "/s>", "|im_start|>", "|im_end|>", "|endoftext|>", "|startoftext|>", "<SYS>>", "</SYS>>"],
+    "<": ["s>", "/s>", "|im_start|>", "|im_end|>", "|endoftext|>", "|startoftext|>"],
     "[": ["INST]", "/INST]"],
 }
-CONTROLS["<"] = [c for c in CONTROLS["<"] if "<" not in c]
 
 
 def _patterns(extra: str) -> list[str]:
