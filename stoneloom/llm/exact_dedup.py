@@ -95,9 +95,10 @@ def build_index(keyed: DataFrame, capacity: int, max_depth: int) -> tuple[DataFr
     loads = {r[0]: r[1] for r in pages.groupBy(_slot("h", max_depth).alias("s")).count().collect()}
     directory = Directory.build(loads, max_depth, capacity)
     cells = spark.createDataFrame(sorted(directory.buckets().items()), "cell int, bucket int")
+    celled = pages.withColumn("cell", _slot("h", directory.depth))
+    # one cell is one bucket: there is nothing to look up
     owned = (
-        pages.withColumn("cell", _slot("h", directory.depth))
-        .join(F.broadcast(cells), "cell")
+        (celled.join(F.broadcast(cells), "cell") if directory.depth else celled.withColumn("bucket", F.lit(0)))
         .repartitionByRange(max(1, min(shuffle_width(spark), len(set(directory.cells)))), "bucket")
         .withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha")) - 1)
         .drop("cell")
