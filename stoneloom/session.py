@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once for each application: executors
+    that have neither the driver's folders nor an installed copy can then import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="stoneloom-")), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
 
 def session(app: str = "stoneloom", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and Arrow; ``conf`` keys use ``__`` for dots.
