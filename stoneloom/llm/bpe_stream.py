@@ -37,6 +37,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import table
 
 #: Stands for the end-of-word suffix inside symbols, so that it can't be confused with text.
@@ -300,6 +301,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
                 ids = [list(codec(path).encode(t.as_py())) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -313,6 +315,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str | None = None) -> DataF
             texts = ["".join(codec(path).decode(ids or [])) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
+    ship_package(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -329,6 +332,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str | None = None, id_col: s
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
 from .common import table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -160,6 +161,7 @@ def convert_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataF
                 names=["conv_id", "turn", "role", "text"],
             )
 
+    ship_package(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("conv_id"), F.col(json_col).alias("json"))
     return rows.mapInArrow(run, "conv_id long, turn long, role string, text string")
 
@@ -242,6 +244,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(pieces: DataFrame) -> DataFrame:
     """Digests of every conversation, from its pieces alone."""
+    ship_package(pieces.sparkSession)
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "piece", "loss_start", "loss_length").mapInArrow(_fold, DIGESTS)
 

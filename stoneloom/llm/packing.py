@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import table
 
 WINDOW = 1024
@@ -200,6 +201,7 @@ def pack(
 ) -> DataFrame:
     """One row for each piece: doc_id, start, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset. A sequence is its pieces by offset, padded to ``window``."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
     return rows.mapInArrow(packer(vocabulary or default_vocabulary(), window), schema)

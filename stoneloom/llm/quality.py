@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import persist_table
+from ..session import ship_package
 from .common import table
 
 DIMENSIONS = 1024
@@ -272,6 +273,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import ship_package
 from .common import table
 
 SHARDS = 16
@@ -59,6 +60,7 @@ def shuffle_shards(
     seed: int = 17,
 ) -> DataFrame:
     """Rows: shard, slot (gapless from 0 within the shard), sub (bucket), size, crc, record."""
+    ship_package(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),

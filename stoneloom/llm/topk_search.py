@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import table
 
 FAN_IN = 64
@@ -99,6 +100,7 @@ def top_k(
     block_rows: int = 2048,
 ) -> DataFrame:
     """The k best of all other rows for every row where ``is_query``: query_id, rank, vec_id, score."""
+    ship_package(vectors.sparkSession)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("v"), is_query.alias("q")
     ).where("vec_id IS NOT NULL AND v IS NOT NULL")
