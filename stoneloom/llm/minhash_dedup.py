@@ -7,13 +7,17 @@
 2. Candidates: within a band's bucket each member is tied to the bucket's smallest id. The
    components of these ties are clusters that no bucket crosses: every pair that shares a bucket
    is inside one. The number of ties is at most one for each member of a bucket.
-3. Links: each cluster is searched in one task, or, above ``TILE_DOCS`` documents or
-   ``TILE_SHINGLES`` shingles, in tiles of two chunks that cover all its pairs, so memory is
-   bounded and no pair is missed. In a tile the packed signatures give a collision-corrected
+3. Links: each cluster is searched in one task, a tile, of at most ``TILE_DOCS`` documents and
+   ``TILE_SHINGLES`` shingles. In a tile the packed signatures give a collision-corrected
    estimate for all pairs of different components by bit counts; pairs whose estimate is within
    six standard errors of the threshold are confirmed on the full sets, the most similar first,
    and joined. Pairs already connected are not confirmed again: the components are the same.
    A tile returns a spanning forest of its links.
+   A larger cluster is dealt into chunks, and each is searched alone; then the smallest ids of
+   the chunks' components are searched. That leaves one component of a group of near copies, and
+   nothing more to do. Of a cluster that still has several, the largest component is dealt into
+   chunks of its own, and tiles of two chunks cover all pairs that are not inside it. So memory is
+   bounded and no pair is missed; work is the largest component's size times the rest's.
 4. Components of the links give every class, and so every document, its component.
 
 A pair at similarity 0.85 is no candidate with probability 7e-9, at 0.8 with 3e-6. 64-bit shingle hashes
@@ -34,16 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import persist_table
+from ..session import ship_package
 from .common import attach_groups, connected_components, small_side, table
 
 WORDS = 5
 BANDS, ROWS, BITS = 32, 5, 4
 PERMUTATIONS = BANDS * ROWS
-TILE_DOCS, TILE_SHINGLES = 8192, 1 << 23
+TILE_DOCS, TILE_SHINGLES = 1024, 1 << 22
 #: Hashes of words that a Python worker remembers.
 WORD_HASHES = 1 << 17
 
@@ -171,25 +176,32 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def search_tile(bits: np.ndarray, texts: list[str], percent: int) -> np.ndarray:
-    """Root of each member under the confirmed links."""
+def search_tile(bits: np.ndarray, sizes: np.ndarray, texts: list[str], known: list[int], percent: int) -> np.ndarray:
+    """Root of each member under the confirmed links. ``sizes``: shingles of each member; members
+    that agree in ``known`` are connected already."""
     n = len(texts)
     forest = _Forest(n)
+    first: dict[int, int] = {}
+    for i, part in enumerate(known):
+        forest.join(first.setdefault(part, i), i)
     sets: dict[int, np.ndarray] = {}
-    sizes = np.zeros(n, np.int64)
+
+    def shingles_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingles(texts[i])
+        return sets[i]
+
     leaders: list[int] = []  # roots of components of more than one member
     p = percent / 100 + (1 - percent / 100) * 2.0**-BITS
     least = percent / 100 - 6 * math.sqrt(p * (1 - p) / PERMUTATIONS) / (1 - 2.0**-BITS)
     with np.errstate(over="ignore"):
         for i in range(n):
-            sets[i] = shingles(texts[i])
-            sizes[i] = len(sets[i])
 
             def confirm(others: np.ndarray, i: int = i) -> None:
                 likely = estimate(mismatches(bits[others], bits[i]))
                 fit = (likely >= least) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))
                 for j in others[fit][np.argsort(-likely[fit], kind="stable")]:
-                    if forest.root[i] != forest.root[j] and linked(sets[i], sets[j], percent):
+                    if forest.root[i] != forest.root[j] and linked(shingles_of(i), shingles_of(int(j)), percent):
                         forest.join(i, j)
 
             if leaders:  # most members of a large component need no more than this
@@ -207,16 +219,67 @@ def _tile(percent: int):
         rows = rows.sort_by("doc_id")
         ids = rows["doc_id"].to_numpy()
         bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        root = search_tile(bits, rows["text"].to_pylist(), percent)
+        root = search_tile(bits, rows["n_shingles"].to_numpy(), rows["text"].to_pylist(), rows["known"].to_pylist(), percent)
         far = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table({"u": pa.array(ids[far], pa.int64()), "v": pa.array(ids[root[far]], pa.int64())})
 
     return run
 
 
+def _chunks(docs: Column, shingles: Column, share: float = 1.0) -> Column:
+    """Chunks that hold ``share`` of a tile each, in expectation."""
+    return F.ceil(F.greatest(docs / (share * TILE_DOCS), shingles / (share * TILE_SHINGLES))).cast("int")
+
+
+def _part(seed: int, chunks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), chunks).cast("int")
+
+
+def _search(held: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) found in the tiles (cluster, a, b); v is the smallest id of u's component in its tile."""
+    rows = held.select("cluster", "a", "b", "doc_id", "n_shingles", "bits", "known", "text")
+    return persist_table(rows.groupBy("cluster", "a", "b").applyInArrow(_tile(percent), "u long, v long"), "minhash-links")
+
+
+def _across(texts: DataFrame, nodes: DataFrame, n_large: int, links: DataFrame, percent: int) -> DataFrame:
+    """Completes ``links``, found inside the chunks of large clusters; ``nodes`` are these clusters' members."""
+    texts = texts.join(small_side(nodes.select("doc_id").distinct(), nodes.count()), "doc_id", "left_semi")
+    leaders = nodes.join(links.select(F.col("u").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    chunks = leaders.groupBy("cluster").agg(_chunks(F.count(F.lit(1)), F.sum("n_shingles")).alias("chunks"))
+    leaders = leaders.join(small_side(chunks, n_large), "cluster").withColumn("a", _part(2, F.col("chunks")))
+    leaders = leaders.withColumns({"b": F.col("a"), "known": F.col("doc_id")})
+    links = links.union(_search(texts.join(leaders, "doc_id"), percent))
+
+    parts = connected_components(links, "minhash-parts").select(F.col("node").alias("doc_id"), F.col("root").alias("known"))
+    nodes = persist_table(nodes.join(parts, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id")), "minhash-parts")
+    size = F.struct(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"), F.first("known").alias("known"))
+    of = nodes.groupBy("cluster", F.col("known").alias("part")).agg(size.alias("size")).groupBy("cluster")
+    of = of.agg(F.max("size").alias("main"), F.sum("size.docs").alias("docs"), F.sum("size.shingles").alias("shingles"), F.count(F.lit(1)).alias("parts"))
+    rest = _chunks(F.col("docs") - F.col("main.docs"), F.col("shingles") - F.col("main.shingles"), 0.5)
+    several = of.where("parts > 1").select(
+        "cluster", F.col("main.known").alias("main"), _chunks(F.col("main.docs"), F.col("main.shingles"), 0.5).alias("m"), rest.alias("r")
+    )
+    several = persist_table(several, "minhash-several")
+    n_several = several.count()
+    if n_several:
+        inside = F.col("known") == F.col("main")
+        chunk = F.when(inside, _part(3, F.col("m"))).otherwise(F.col("m") + _part(3, F.col("r")))
+        # chunks of the largest component come first, and meet only others
+        others = F.sequence(F.when(inside, F.col("m")).otherwise(0), F.col("m") + F.col("r") - 1)
+        pairs = F.transform(
+            F.filter(others, lambda o: o != F.col("chunk")),
+            lambda o: F.struct(F.least(o, "chunk").alias("a"), F.greatest(o, "chunk").alias("b")),
+        )
+        tiles = nodes.join(small_side(several, n_several), "cluster").withColumn("chunk", chunk)
+        tiles = tiles.select("cluster", "doc_id", "n_shingles", "bits", "known", F.inline(pairs))
+        links = links.union(_search(texts.join(tiles, "doc_id"), percent))
+    return connected_components(links, "minhash-links").select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``. Documents are linked if
     100 * intersection >= percent * union."""
+    ship_package(docs.sparkSession)
     signed = persist_table(signatures(docs, id_col, text_col), "minhash")
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     classes = persist_table(classes, "minhash-classes")
@@ -233,26 +296,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         small_side(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), n_nodes), "doc_id"
     )
     nodes = persist_table(nodes, "minhash-nodes")
-    chunks = F.ceil(F.greatest(F.count(F.lit(1)) / TILE_DOCS, F.sum("n_shingles") / TILE_SHINGLES)).cast("int")
-    large = nodes.groupBy("cluster").agg(chunks.alias("chunks")).where("chunks > 1")
+    large = nodes.groupBy("cluster").agg(_chunks(F.count(F.lit(1)), F.sum("n_shingles")).alias("chunks")).where("chunks > 1")
     n_large = large.count()
-    if n_large:  # two chunks fit a tile: halves of the bound each
-        large = large.withColumn("chunks", 2 * F.col("chunks"))
-        dealt = nodes.join(small_side(large, n_large), "cluster", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-        pair = F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: (F.col("chunks") == 1) | (o != F.col("chunk"))),
-            lambda o: F.struct(F.least(o, "chunk").alias("a"), F.greatest(o, "chunk").alias("b")),
-        )
-        dealt = dealt.select("doc_id", "bits", "cluster", F.inline(pair))
-    else:
-        dealt = nodes.select("doc_id", "bits", "cluster", F.lit(0).alias("a"), F.lit(0).alias("b"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(small_side(nodes.select("doc_id"), n_nodes), "doc_id", "left_semi") if n_large else texts
-    held = texts.join(small_side(dealt, 2 * n_nodes) if not n_large else dealt, "doc_id")
-    links = persist_table(held.groupBy("cluster", "a", "b").applyInArrow(_tile(percent), "u long, v long"), "minhash-links")
+    alone = nodes.withColumn("known", F.col("doc_id"))
     if n_large:
-        links = connected_components(links, "minhash-links").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        alone = alone.join(small_side(large, n_large), "cluster", "left").withColumn("a", _part(1, F.coalesce("chunks", F.lit(1))))
+    else:
+        alone = alone.withColumn("a", F.lit(0))
+    links = _search(texts.join(small_side(alone.withColumn("b", F.col("a")), 2 * n_nodes), "doc_id"), percent)
+    if n_large:
+        links = _across(texts, persist_table(nodes.join(small_side(large.select("cluster"), n_large), "cluster"), "minhash-large"), n_large, links, percent)
     roots = links.groupBy("u").agg(F.min("v").alias("root"))
     found = classes.join(roots, F.col("rep") == F.col("u"), "left").select(
         "digest", "size", F.coalesce("root", "rep").alias("component_id")
@@ -272,4 +326,37 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_minhash_dedup": op10_minhash_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op10_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE
+    WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  END AS s
+  FROM w
+), classes AS MATERIALIZED (
+  SELECT doc_id, len(s) AS n, s, min(doc_id) OVER (PARTITION BY CASE WHEN len(s) > 0 THEN list_sort(s) END, CASE WHEN len(s) = 0 THEN doc_id END) AS rep
+  FROM s
+), x AS MATERIALIZED (
+  SELECT doc_id, n, unnest(s) AS shingle FROM classes WHERE doc_id = rep
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT DISTINCT u AS node, u AS seen FROM links
+  UNION
+  SELECT reach.node, links.v FROM reach JOIN links ON links.u = reach.seen
+), roots AS (
+  SELECT node, min(seen) AS root FROM reach GROUP BY node
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(root, rep) AS component_id, coalesce(root, rep) = doc_id AS kept
+FROM classes LEFT JOIN roots ON node = rep
+"""
+}

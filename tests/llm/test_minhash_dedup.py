@@ -89,6 +89,17 @@ def test_split_clusters_give_the_same(spark, monkeypatch):
     assert run(spark, docs) == want
 
 
+def test_members_of_a_split_cluster_that_no_leader_links(spark, monkeypatch):
+    """A chain, each text linked to the next ones only, in one cluster of many chunks."""
+    words = [f"w{i}" for i in range(400)]
+    docs = [(int(i), " ".join(words[at : at + 200])) for at, i in enumerate(np.random.default_rng(2).permutation(100))]
+    docs += [(1000 + i, " ".join(words[:150] + [f"x{i}-{j}" for j in range(50)])) for i in range(12)]
+    want = brute(docs, 85)
+    assert len({c for _, _, c, _ in want}) > 1
+    monkeypatch.setattr(op, "TILE_DOCS", 16)
+    assert run(spark, docs) == want
+
+
 def test_shuffled_joins_give_the_same(spark, monkeypatch):
     docs = corpus(80, 6)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
