@@ -13,9 +13,10 @@ words not seen. The biases start at the counts, so the model starts at the unigr
 training moves it on. Input of a word is its row, or its class's, in a table.
 
 *Training.* Truncated backpropagation over windows of ``STEPS`` tokens in numpy, state carried
-from window to window. Each of ``ROUNDS`` rounds takes a ``1 / SLICES`` part of the training
-documents by a hash of the id (it grows with the corpus; counts use all): every task trains on
-its share from the same start, and the weights are averaged, by groups of tasks first.
+from window to window. A round takes a ``1 / SLICES`` part of the training documents by a hash
+of the id, and there are as many rounds as parts, so every training document is trained on once:
+every task trains on its share from the same start, in stretches of bounded length, and the
+weights are averaged, by groups of tasks first.
 
 *Scoring.* A task lays its documents end to end in lanes of about equal length, longest first,
 and runs all lanes step by step; state is carried across windows and cleared where a document
@@ -52,7 +53,10 @@ KNOWN = 1 << 19
 STEPS, LANES = 16, 512
 #: Training: most lanes, and the updates that a stream should give at least, by several passes if it is short.
 TRAIN_LANES, UPDATES = 256, 128
-ROUNDS, SLICES = 2, 16
+#: Parts of the training documents, one for each round.
+SLICES = 4
+#: Tokens that a task trains on together; the last stretch has up to twice as many.
+STRETCH = 1 << 20
 #: Tokens that a task scores together.
 BATCH_TOKENS = 1 << 21
 END = b""
@@ -284,21 +288,28 @@ def train_stream(model: Model, row: np.ndarray, kind: np.ndarray, starts: np.nda
             states.append(h)
         grad = Model.empty()
         flat = np.concatenate(states)
+        old, (z, r, n, gn) = np.stack(before), map(np.stack, zip(*caches, strict=True))
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), gn * r * (1 - r)
         _, dh_out = model.outputs(flat, kind[a:b].ravel(), row[a:b].ravel(), grad)
         dh_out = dh_out.reshape(b - a, lanes, HIDDEN)
         dx = np.empty((b - a, lanes, 3 * HIDDEN), np.float32)
+        dg = np.empty_like(dx)
         dh = np.zeros_like(h)
         for i in range(b - a - 1, -1, -1):
-            z, r, n, gn = caches[i]
             dh = dh + dh_out[i]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before[i] - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            dx[i, :, :HIDDEN], dx[i, :, HIDDEN : 2 * HIDDEN], dx[i, :, 2 * HIDDEN :] = dz, dr, dn
-            grad.state += before[i].T @ dg
-            dh = (dh * z + dg @ model.state.T) * kept[i]
-        np.add.at(grad.table, feed[a:b].ravel(), dx.reshape(-1, 3 * HIDDEN))
+            dn = dh * by_n[i]
+            dx[i, :, :HIDDEN] = dh * by_z[i]
+            dx[i, :, HIDDEN : 2 * HIDDEN] = dn * by_r[i]
+            dx[i, :, 2 * HIDDEN :] = dn
+            dg[i, :, : 2 * HIDDEN] = dx[i, :, : 2 * HIDDEN]
+            dg[i, :, 2 * HIDDEN :] = dn * r[i]
+            dh = (dh * z[i] + dg[i] @ model.state.T) * kept[i]
+        grad.state += old.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
+        fed = feed[a:b].ravel()
+        order = np.argsort(fed, kind="stable")
+        fed = fed[order]
+        firsts = np.flatnonzero(np.diff(fed, prepend=-1))
+        grad.table[fed[firsts]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], firsts, axis=0)
         norm = float(np.linalg.norm(grad.flat))
         if norm > 1:
             grad.flat /= norm
@@ -399,19 +410,31 @@ def build_vocabulary(counts: DataFrame) -> tuple:
 def _trainer(shared, weights, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
-        rows, kinds, starts = [], [], []
+        model = Model(np.frombuffer(weights.value, np.float32).copy())
+        held: list[tuple[np.ndarray, ...]] = []
+        n = size = 0
+
+        def train(upto: int) -> int:
+            """Trains on the first documents that have ``upto`` tokens together; returns their tokens."""
+            ends = np.cumsum([len(h[0]) for h in held])
+            k = int(np.searchsorted(ends, upto)) + 1
+            train_stream(model, *map(np.concatenate, zip(*held[:k], strict=True)), rate)
+            del held[:k]
+            return int(ends[min(k, len(ends)) - 1])
+
         for b in batches:
             for t in b.column(0):
                 _, row, kind = v.read(tokens(t.as_py()))
-                rows.append(row)
-                kinds.append(kind)
                 first = np.zeros(len(row), bool)
                 first[0] = True
-                starts.append(first)
-        n = sum(map(len, rows))
+                held.append((row, kind, first))
+                n += len(row)
+                size += len(row)
+                if size >= 2 * STRETCH:
+                    size -= train(STRETCH)
+        if held:
+            train(size)
         if n:
-            model = Model(np.frombuffer(weights.value, np.float32).copy())
-            train_stream(model, *map(np.concatenate, (rows, kinds, starts)), rate)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([float(n)]), pa.array([model.flat.tobytes()], pa.binary())],
                 names=["part", "n", "weights"],
@@ -428,11 +451,11 @@ def _mean(rows: pa.Table) -> pa.Table:
     return pa.table({"part": rows["part"][:1], "n": pa.array([float(weight.sum())]), "weights": pa.array([mean.tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame, shared, v: Vocabulary, rounds: int = ROUNDS, slices: int = SLICES) -> Model:
-    """``docs``: (doc_id, text) of training documents."""
+def fit(docs: DataFrame, shared, v: Vocabulary, slices: int = SLICES) -> Model:
+    """``docs``: (doc_id, text) of training documents. Every one is trained on in one of the rounds."""
     sc = docs.sparkSession.sparkContext
     model = Model.initial(v)
-    for k in range(rounds):
+    for k in range(slices):
         part = docs.where(F.pmod(F.xxhash64(F.lit(88), "doc_id"), F.lit(slices)) == k).select("text")
         weights = sc.broadcast(model.flat.tobytes())
         schema = "part int, n double, weights binary"

@@ -138,3 +138,31 @@ def test_empty_and_nothing_to_train_on(spark):
     (one,) = run(spark, [(None, "a b")])
     assert (one["n_tokens"], one["n_known"], one["train_tokens"], one["held_out"]) == (3, 0, 0, True)
     assert one["base_score"] == pytest.approx(0.0) and math.isfinite(one["score"])
+
+
+def test_every_training_document_is_trained_on(spark):
+    from pyspark.sql import functions as F
+
+    part = F.pmod(F.xxhash64(F.lit(88), "id"), F.lit(16))
+    late = {r["id"] for r in spark.range(1500).where(part >= 2).collect()}
+    other = "red green blue black white grey pink brown".split()
+    # the second style is in documents of the later hash values only, apart from held out ones
+    docs = [(i, " ".join(other[(i + j) % 8] for j in range(60)) if i in late else t) for i, t in chain(1500)]
+    found = [r for r in run(spark, docs) if r["held_out"] and r["doc_id"] in late]
+    gain = sum(r["score"] - r["base_score"] for r in found) / sum(r["n_tokens"] for r in found)
+    assert len(found) > 50 and gain > 0.4
+
+
+def test_long_shares_are_trained_on_in_stretches(monkeypatch):
+    v = small_vocabulary()
+    seen = []
+    monkeypatch.setattr(op, "STRETCH", 50)
+    monkeypatch.setattr(op, "_vocabulary", lambda shared: v)
+    monkeypatch.setattr(op, "train_stream", lambda model, row, kind, starts, rate: seen.append((len(row), int(starts.sum()))))
+    monkeypatch.setattr(op.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    weights = type("W", (), {"value": op.Model.empty().flat.tobytes()})
+    texts = ["a b c"] * 70 + [None]
+    batches = [op.pa.RecordBatch.from_arrays([op.pa.array(texts, op.pa.string())], names=["text"])]
+    (out,) = op._trainer(None, weights, 0.05)(iter(batches))
+    assert sum(n for n, _ in seen) == 281 == out.column(1)[0].as_py() and sum(d for _, d in seen) == 71
+    assert len(seen) > 3 and all(50 <= n < 104 for n, _ in seen)
