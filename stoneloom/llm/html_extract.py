@@ -3,11 +3,12 @@
 One pass over the markup builds a light tree: elements, their blocks of text, and for each block
 the characters that stand in links. Scripts, styles, forms and elements that say what they are -
 by tag, role, class or id (menus, sidebars, notices, adverts, reader comments) - are left out as
-whole subtrees; a header inside an article keeps only its headings. Every paragraph passes
+whole subtrees, but where the word in class or id may also be a topic (``DOUBTFUL``), only if they
+hold no paragraph of prose or many links; a header inside an article keeps only its headings. Every paragraph passes
 1 point, 1 for each comma and up to 3 for its length to its container, half to the next one,
 a third and so on to the ones above. A container's points are discounted by its link density. The
-best container wins, or the article around it; siblings whose points reach a fifth of its own,
-or that are paragraphs of prose, are kept with it. A block is the text between block-level tags:
+best container wins, or the article around it; siblings that are or hold prose with few links,
+or whose points reach a fifth of its own, are kept with it. A block is the text between block-level tags:
 references decoded, white space to single spaces, trimmed; blocks are joined by two line ends.
 
 Defined results: a null page is empty; a page without a paragraph gives all blocks outside the
@@ -57,6 +58,11 @@ NOISE = set(
     " cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall"
     " share sharing social follow tags copyright legal disclaimer form search warning adsbygoogle outbrain taboola feedback thread".split()
 )
+#: Words of ``NOISE`` that name topics as well: a section may be about them.
+DOUBTFUL = set(
+    "promotion navigation menu menus toc skip related recommended recommendations trending popular discussion reactions notice notices"
+    " alert alerts subscription share sharing social follow tags copyright legal disclaimer form search warning feedback thread".split()
+)
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 ABOUT = {"has", "with", "no", "not", "without", "show", "hide", "is"}
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
@@ -65,10 +71,11 @@ WORDS = re.compile(r"[a-z]+(?=[^a-z]|$)|[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("depth", "head", "kind", "links", "parent", "points", "size", "skip")
+    __slots__ = ("depth", "doubt", "head", "kind", "links", "parent", "points", "size", "skip")
 
     def __init__(self, kind: str, parent: Node | None, skip: bool, head: bool = False):
         self.kind, self.parent, self.skip, self.head = kind, parent, skip, head
+        self.doubt = False
         self.depth = parent.depth + 1 if parent else 0
         self.points, self.size, self.links = 0.0, 0, 0
 
@@ -93,9 +100,10 @@ def noisy(kind: str, raw: str) -> str:
         for w in map(str.lower, WORDS.findall(name)):
             # "has-sidebar" says something of what an element holds, not of what it is
             if w in NOISE and before not in ABOUT:
-                if w not in ("header", "headers"):
+                if w not in DOUBTFUL and w not in ("header", "headers"):
                     return w
-                found = w
+                if found not in DOUBTFUL:
+                    found = w
             before = w
     return found
 
@@ -200,17 +208,42 @@ def blocks_of(html: str) -> list[tuple[Node, str, int]]:
             if kind == "html":
                 continue
         parent = stack[-1]
-        skip, head = parent.skip, False
+        skip, head, doubt = parent.skip, False, False
         if not skip:
             against = noisy(kind, raw)
             head = kind == "header" or against in ("header", "headers")
-            skip = kind in DROP or (not _within_article(parent) if head else bool(against))
+            doubt = against in DOUBTFUL and kind in BLOCK and kind not in DROP
+            skip = kind in DROP or not doubt and (not _within_article(parent) if head else bool(against))
         if raw.endswith("/") and kind not in BLOCK:
             continue
         stack.append(Node(kind, parent, skip, head))
+        stack[-1].doubt = doubt
         anchors += kind == "a"
     flush()
-    return [b for b in out if not _in_header(b[0])]
+    return _without_noise([b for b in out if not _in_header(b[0])])
+
+
+def _prose(holder: Node, text: str, linked: int) -> bool:
+    """Whether a block is a paragraph of prose."""
+    return holder.kind in PROSE and (len(text) >= 80 or not linked and text[-1] in ".!?。！？…") and 4 * linked < len(text)
+
+
+def _without_noise(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Blocks less those in doubtful elements without a long paragraph of prose, or with many links."""
+    seen: dict[int, list] = {}
+    above = []
+    for holder, text, linked in found:
+        around, node = [], holder
+        while node:
+            if node.doubt:
+                sums = seen.setdefault(id(node), [0, 0, False])
+                sums[0] += len(text)
+                sums[1] += linked
+                sums[2] |= len(text) >= 80 and _prose(holder, text, linked)
+                around.append(sums)
+            node = node.parent
+        above.append(around)
+    return [b for b, around in zip(found, above, strict=True) if all(prose and 4 * links < size for size, links, prose in around)]
 
 
 def _within_article(node: Node | None) -> bool:
@@ -275,9 +308,16 @@ def main_text(html: str | None) -> str:
         best = _with_headings(best, found)
         kept = {id(best)}
         said = {id(holder): text for holder, text, _ in found}
+        with_prose: set[int] = set()
+        for holder, text, linked in found:
+            node = holder if _prose(holder, text, linked) else None
+            while node and id(node) not in with_prose:
+                with_prose.add(id(node))
+                node = node.parent
         for x in touched.values():
             if x.parent is best.parent and x is not best and x.parent is not None:
                 prose = x.kind in HEADINGS or x.kind == "p" and (x.size >= 80 or not x.links and said.get(id(x), "")[-1:] in ".!?。！？…")
+                prose = prose or x.kind in CONTAINERS and id(x) in with_prose
                 if prose and 4 * x.links < max(1, x.size) or score(x) >= enough:
                     kept.add(id(x))
     out = []

@@ -62,6 +62,24 @@ def test_deep_and_long_pages():
     assert main_text("<article>" + "".join(f"<p>{x}" for x in many)) == "\n\n".join(many)
 
 
+def test_short_sections_beside_a_long_one():
+    long = [f"{P1} {i}, {P2} {P1[:150]}" for i in range(5)]
+    short = f"{P1[:-1]}, and more of that."
+    html = f"<body><div id=c><div>{''.join(f'<p>{x}</p>' for x in long)}</div><div><p>{short}</p></div><div><p><a href=x>{P1}</a></p></div><div>x</div></div></body>"
+    assert main_text(html) == "\n\n".join([*long, short])
+
+
+@pytest.mark.parametrize("says", ["section id='discussion'", "div class='legal-history'", "div class=warning", "div id=related-work"])
+def test_topics_are_no_noise(says):
+    kind = says.split()[0]
+    part = f"<{says}><h2>Part</h2><p>{P2}</p></{kind}>"
+    assert main_text(f"<article><h1>Title</h1><p>{P1}</p>{part}</article>") == f"Title\n\n{P1}\n\nPart\n\n{P2}"
+    assert main_text(f"<div><h1>Title</h1><p>{P1}</p><p>{P1}</p>{part}</div>") == f"Title\n\n{P1}\n\n{P1}\n\nPart\n\n{P2}"
+    # without prose, or with many links, the word counts
+    for rest in ("<p>Of this kind</p>", f"<p><a href=x>{P1}</a></p><p>{P2}</p>"):
+        assert main_text(f"<article>{BODY}<{says}>{rest}</{kind}></article>") == WANT
+
+
 def test_operator(spark, rows):
     df = spark.createDataFrame(
         [(1, "u", f"<article>{BODY}</article>", "clash"), (1, "u", f"<article>{BODY}</article>", "clash"), (None, None, None, None), (3, "v", "", "x")],
