@@ -10,7 +10,7 @@
    doubles until no bucket holds more than ``capacity`` entries.
 3. *Owners.* Buckets are contiguous hash ranges. Range partitioning gives every owner task
    whole buckets; it sorts them and numbers the entries that share a hash: the collision chain.
-4. *Probe.* Every row finds its chain entry by (bucket, hash, SHA-256). Texts that hold at
+4. *Probe.* Every row finds its entry by (hash, SHA-256), past the directory. Texts that hold at
    least one row in ``HOT_SHARE`` are at most ``HOT_SHARE`` entries, so these are broadcast and
    their rows are dealt by id; no other key has more than that share of rows.
 
