@@ -4,9 +4,10 @@
    size, a digest of the whole set, ``BANDS`` band keys of ``ROWS`` minima each and the low
    ``BITS`` bits of all minima, packed. Documents whose sets are equal form a class; only its
    smallest id goes on, so copies, however many, are one node.
-2. Candidates: within a band's bucket each member is tied to the bucket's smallest id. The
-   components of these ties are clusters that no bucket crosses: every pair that shares a bucket
-   is inside one. The number of ties is at most one for each member of a bucket.
+2. Candidates: within a band's bucket each member is tied to the bucket's smallest id, its leader.
+   A document follows the smallest of its leaders, and its other leaders are tied to that one; the
+   components of these ties between leaders are clusters that no bucket crosses: every pair that
+   shares a bucket is inside one.
 3. Links: each cluster is searched in one task, a tile, of at most ``TILE_DOCS`` documents and
    ``TILE_SHINGLES`` shingles. In a tile the packed signatures give a collision-corrected
    estimate for all pairs of different components by bit counts; pairs whose estimate is within
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import persist_table
 from ..session import ship_package
-from .common import attach_groups, connected_components, small_side, table
+from .common import attach_groups, connected_components, followed, small_side, table
 
 WORDS = 5
 BANDS, ROWS, BITS = 32, 5, 4
@@ -288,13 +289,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    ties = rows.join(buckets.select("key", "first"), "key").where("doc_id <> first")
-    clusters = connected_components(ties.select(F.col("doc_id").alias("u"), F.col("first").alias("v")).distinct(), "minhash-clusters")
+    buckets = persist_table(buckets, "minhash-buckets")
+    tied = attach_groups(rows, buckets, "key", "n", "doc_id").where("group IS NOT NULL")
+    tied = tied.groupBy("doc_id").agg(F.collect_set("group.first").alias("leaders"))  # at most one a band
+    tied = persist_table(tied.withColumn("cluster", F.array_min("leaders")), "minhash-ties")
+    ties = tied.select(F.explode("leaders").alias("u"), F.col("cluster").alias("v"))
+    roots = connected_components(ties, "minhash-clusters")
+    clusters = persist_table(followed(tied.select("doc_id", "cluster"), "cluster", roots, "doc_id"), "minhash-clusters")
 
     n_nodes = clusters.count()
-    nodes = reps.select("doc_id", "n_shingles", "bits").join(
-        small_side(clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")), n_nodes), "doc_id"
-    )
+    nodes = reps.select("doc_id", "n_shingles", "bits").join(small_side(clusters, n_nodes), "doc_id")
     nodes = persist_table(nodes, "minhash-nodes")
     large = nodes.groupBy("cluster").agg(_chunks(F.count(F.lit(1)), F.sum("n_shingles")).alias("chunks")).where("chunks > 1")
     n_large = large.count()

@@ -144,3 +144,43 @@ def test_groups_attach_without_a_hot_key(spark):
     out = common.attach_groups(rows, groups, "k", "count", "id")
     assert out.where("group.count = 1500").count() == 1500 and out.where("group.count = 1").count() == 1500
     assert out.where("group IS NULL").count() == 1
+
+
+def union_find(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        x, y = sorted((find(u), find(v)))
+        root[y] = x
+    return {x: find(x) for x in root}
+
+
+@pytest.mark.parametrize("rows", [1 << 18, 0])
+def test_components_of_a_hub_a_chain_and_a_random_graph(spark, monkeypatch, rows):
+    """Also where nothing is broadcast, and where the drawn orders are needed."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    rng = np.random.default_rng(7)
+    edges = [(5_000, int(i)) for i in rng.choice(4_000, 600, replace=False)]  # a hub with the largest id
+    edges += [(10_000 + i, 10_001 + i) for i in range(120)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(20_000, 20_300, (200, 2)) if a != b]
+    got = common.connected_components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r["node"]: r["root"] for r in got.collect()} == union_find(edges)
+    assert common.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_large_group_of_near_copies(spark):
+    """5000 different near copies of one text, in chunks of the production size, are one group."""
+    base = [f"w{i}" for i in range(100)]
+    docs = [(7, " ".join(base))]
+    for i in range(5_000):
+        words = base[:]
+        words[i % 100] = f"x{i}"
+        docs.append((8 + i, " ".join(words)))
+    got = run(spark, docs)
+    assert [(i, c) for i, _, c, _ in got] == [(i, 7) for i, _ in docs]
+    assert sum(kept for *_, kept in got) == 1
