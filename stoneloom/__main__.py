@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import sources as src
 from .operators import cluster, cooccurrence, corpus, counting, graph, index
+from .scratch import release_scratch
 from .session import session
 
 
@@ -152,8 +153,10 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
     if not args or args[0] not in PROGRAMS:
         print(__doc__, file=sys.stderr)
         return 2
+    spark = spark or session(args[0])
     try:
-        PROGRAMS[args[0]](spark or session(args[0]), *args[1:])
+        PROGRAMS[args[0]](spark, *args[1:])
+        release_scratch(spark)  # the results are written
     except TypeError as e:
         if "positional argument" not in str(e):
             raise

@@ -1,10 +1,11 @@
 """k-means with empty clusters filled by outliers of the largest.
 
-Points stay where they are: each round assigns them against k centroids (k * d numbers, sent
-with the plan) and aggregates sums by cluster before the shuffle."""
+Points stay where they are: each round assigns them against k centroids (k * d numbers, one literal
+of the plan) and aggregates means by cluster and slice of coordinates before the shuffle."""
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -29,18 +30,26 @@ class Clusters:
     history: list[dict[int, list[float]]] = field(default_factory=list)
 
 
-def initial(points: DataFrame, k: int, init: str = "random", seed: int = 1) -> DataFrame:
-    """A cluster for every point: by a seeded hash of its id, or by its id modulo k."""
-    index = F.pmod(F.xxhash64(F.lit(seed), "point_id"), F.lit(k)) if init == "random" else F.pmod("point_id", F.lit(k))
-    return points.withColumn("cluster", index.cast("int"))
+#: Coordinates of one slice.
+SLICE = 32
+
+
+def initial(points: DataFrame, k: int, init: str | Column = "random", seed: int = 1) -> DataFrame:
+    """A cluster for every point: by a seeded hash of its id, by its id modulo k, or by a column."""
+    if isinstance(init, str):
+        init = F.pmod(F.xxhash64(F.lit(seed), "point_id"), F.lit(k)) if init == "random" else F.pmod("point_id", F.lit(k))
+    return points.withColumn("cluster", init.cast("int"))
+
+
+def _literal(centroids: dict[int, list[float]]) -> Column:
+    """Array of (idx, c) as one constant, whatever the number of centroids and coordinates."""
+    listed = json.dumps([{"idx": i, "c": [float(x) for x in c]} for i, c in sorted(centroids.items())])
+    return F.from_json(F.lit(listed), "array<struct<idx: int, c: array<double>>>")
 
 
 def nearest(coords: Column, centroids: dict[int, list[float]]) -> Column:
     """(d, idx) of the nearest centroid, the lowest index among equals."""
-    options = [
-        F.struct(distance(coords, F.array(*[F.lit(float(x)) for x in c])).alias("d"), F.lit(i).alias("idx")) for i, c in sorted(centroids.items())
-    ]
-    return F.array_min(F.array(*options))
+    return F.array_min(F.transform(_literal(centroids), lambda m: F.struct(distance(coords, m["c"]).alias("d"), m["idx"].alias("idx"))))
 
 
 def assign(points: DataFrame, centroids: dict[int, list[float]]) -> DataFrame:
@@ -49,14 +58,18 @@ def assign(points: DataFrame, centroids: dict[int, list[float]]) -> DataFrame:
 
 def centroids_of(assigned: DataFrame, dims: int) -> DataFrame:
     """(cluster, size, centroid): means by coordinate."""
-    means = F.array(*[F.avg(F.col("coords")[i]) for i in range(dims)])
-    return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), means.alias("centroid"))
+    starts = F.lit(list(range(0, max(dims, 1), SLICE)))
+    parts = assigned.select("cluster", "coords", F.explode(starts).alias("at")).select("cluster", "at", F.slice("coords", F.col("at") + 1, SLICE).alias("x"))
+    means = F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(min(dims, SLICE))])
+    parts = parts.groupBy("cluster", "at").agg(F.count(F.lit(1)).alias("size"), means.alias("means"))
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "means"))), lambda p: p["means"]))
+    return parts.groupBy("cluster").agg(F.max("size").alias("size"), F.slice(whole, 1, dims).alias("centroid"))
 
 
 def outliers(assigned: DataFrame, centroids: dict[int, list[float]], n: int) -> DataFrame:
     """(cluster, rank, point_id, dist, coords): the n farthest points of each cluster, first ids first among equals."""
-    at = F.create_map(*[x for i, c in sorted(centroids.items()) for x in (F.lit(i), F.array(*[F.lit(float(v)) for v in c]))])
-    far = assigned.withColumn("dist", distance(F.col("coords"), F.try_element_at(at, F.col("cluster"))))
+    at = F.try_element_at(F.map_from_entries(_literal(centroids)), F.col("cluster"))
+    far = assigned.withColumn("dist", distance(F.col("coords"), at))
     order = Window.partitionBy("cluster").orderBy(F.desc("dist"), "point_id")
     return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("cluster", "rank", "point_id", "dist", "coords")
 
@@ -81,7 +94,7 @@ def moved(a: dict[int, list[float]], b: dict[int, list[float]]) -> float:
     return max((abs(x - y) for i in a for x, y in zip(a[i], b[i], strict=True)), default=0.0)
 
 
-def kmeans(points: DataFrame, k: int, iterations: int, init: str = "random", seed: int = 1, tolerance: float = TOLERANCE) -> Clusters:
+def kmeans(points: DataFrame, k: int, iterations: int, init: str | Column = "random", seed: int = 1, tolerance: float = TOLERANCE) -> Clusters:
     """``points``: point_id, coords (array of double). Converged when no coordinate of a centroid
     moves by more than ``tolerance``; never in the first round, nor with an empty cluster."""
     width = points.select(F.max(F.size("coords"))).first()[0] or 0

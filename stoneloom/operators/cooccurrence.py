@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.tokens import single_ws_cased
+from ..joins import attach
+from ..scratch import persist_table
 
 
 def neighbours(tokens: Column, window: int = 1) -> Column:
@@ -42,11 +43,17 @@ def stripe_counts(lines: DataFrame, text_col: str = "value", window: int = 1) ->
     return found.groupBy("w", "u").agg(F.count("u").alias("n"))
 
 
-def stripes(lines: DataFrame, text_col: str = "value", window: int = 1) -> DataFrame:
-    """(w, stripe): map from neighbour to count, empty for words that only stood alone."""
-    counts = stripe_counts(lines, text_col, window)
+def stripes(lines: DataFrame, text_col: str = "value", window: int = 1, block_words: int = 1 << 16) -> DataFrame:
+    """(w, block, stripe): maps from neighbour to count. Neighbours are dealt into blocks by a hash,
+    as many as bring a block of the whole vocabulary down to about ``block_words``, so no map grows
+    with the corpus. Words that only stood alone have an empty map in block 0."""
+    counts = persist_table(stripe_counts(lines, text_col, window), "stripes")
+    alone = counts.where("u IS NULL").join(counts.where("u IS NOT NULL").select("w").distinct(), "w", "left_anti")
+    blocks = max(1, -(-counts.agg(F.approx_count_distinct("u")).first()[0] // block_words))
+    block = F.when(F.col("u").isNull(), 0).otherwise(F.pmod(F.xxhash64("u"), F.lit(blocks))).cast("int")
     entry = F.when(F.col("u").isNotNull(), F.struct("u", "n"))
-    return counts.groupBy("w").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("stripe"))
+    counts = counts.where("u IS NOT NULL").unionByName(alone)
+    return counts.groupBy("w", block.alias("block")).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("stripe"))
 
 
 def marginals(counted: DataFrame) -> DataFrame:
@@ -61,6 +68,15 @@ def with_marginals(counted: DataFrame) -> DataFrame:
     return counted.select("w", "u", "n", F.lit(False).alias("is_marginal")).unionByName(total)
 
 
+def marker_first(counted: DataFrame) -> DataFrame:
+    """``with_marginals`` in parts by word, each word's total before its neighbours, which a reader
+    can then divide as they come."""
+    return with_marginals(counted).repartition("w").sortWithinPartitions("w", F.desc("is_marginal"), "u")
+
+
 def relative(counted: DataFrame) -> DataFrame:
-    """(w, u, n, f): share of ``u`` among the neighbours of ``w``."""
-    return counted.withColumn("f", F.col("n") / F.sum("n").over(Window.partitionBy("w")))
+    """(w, u, n, f): share of ``u`` among the neighbours of ``w``. Totals of frequent words are
+    broadcast, so that their many neighbours need not meet in one task."""
+    counted = persist_table(counted, "pairs")
+    totals = counted.groupBy("w").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    return attach(counted, persist_table(totals, "totals"), "w", "rows", ["u"]).select("w", "u", "n", (F.col("n") / F.col("total")).alias("f"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import wiki
+from ..joins import attach
+from ..scratch import persist_table
 
 #: A side of a join may be sent to every task up to so many rows.
 BROADCAST_ROWS = 1 << 18
@@ -36,7 +38,10 @@ def link_graph(pages: DataFrame, titles: DataFrame) -> DataFrame:
     links = sources.select(
         F.col("page_id").alias("id"), F.posexplode(F.transform(wiki.link_destinations(F.col("raw")), F.lower)).alias("pos", "name")
     )
-    found = links.join(small_side(target), "name").groupBy("id", "dst").agg(F.min("pos").alias("pos"))
+    # a name that very many pages link to is no join key of all of them
+    sizes = links.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    named = persist_table(target.join(sizes, "name"), "link-names")
+    found = attach(links, named, "name", "n", ["id", "pos"]).groupBy("id", "dst").agg(F.min("pos").alias("pos"))
     ordered = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "dst"))).alias("l"))
     none = F.array().cast("array<bigint>")
     return (

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import persist_table
+from ..scratch import persist_observed, persist_table
 
 #: The jump probability of the two-phase form is a 32-bit number.
 ALPHA = 0.15000000596046448
@@ -78,8 +78,8 @@ def pagerank_two_phase(
             return Result(state, i, True, masses)
         before = masses[-1] if masses else 0.0
         p = state.select("id").join(sent(state, shares), "id", "full_outer").select("id", F.coalesce("p", F.lit(0.0)).alias("p"))
-        p = persist_table(p, "pagerank")
-        masses.append(p.agg(F.sum("p")).first()[0] or 0.0)
+        p, seen = persist_observed(p, "pagerank", mass=F.sum("p"))
+        masses.append(seen["mass"] or 0.0)
         state = p.select("id", _update(F.col("p"), alpha, n, n - masses[-1]).alias("pr"))
     return Result(state, iterations, False, masses)
 
@@ -93,8 +93,8 @@ def pagerank_vertex(ranks: DataFrame, edges: DataFrame, updates: int, alpha: flo
     changes: list[float] = []
     for i in range(updates):
         p = state.join(sent(state, shares), "id", "left").select("id", F.col("pr").alias("old"), F.coalesce("p", F.lit(0.0)).alias("p"))
-        p = persist_table(p, "vertex")
-        missing = n - (p.agg(F.sum("p")).first()[0] or 0.0)
+        p, seen = persist_observed(p, "vertex", mass=F.sum("p"))
+        missing = n - (seen["mass"] or 0.0)
         new = p.select("id", "old", _update(F.col("p"), alpha, n, missing).alias("pr"))
         state = new.select("id", "pr")
         if tolerance is not None:
@@ -115,10 +115,10 @@ def pagerank_simple(nodes: DataFrame, edges: DataFrame, updates: int = 1000, alp
         new = state.join(sent(state, shares), "id", "left").select(
             "id", F.col("pr").alias("old"), (F.lit(alpha / n) + F.lit(1 - alpha) * F.coalesce("p", F.lit(0.0))).alias("pr")
         )
-        new = persist_table(new, "simple")
+        new, seen = persist_observed(new, "simple", change=F.avg(F.abs(F.col("pr") - F.col("old"))))
         state = new.select("id", "pr")
         if tolerance is not None:
-            changes.append(new.agg(F.avg(F.abs(F.col("pr") - F.col("old")))).first()[0] or 0.0)
+            changes.append(seen["change"] or 0.0)
             if i >= 2 and changes[-1] < tolerance:
                 return Result(state, i + 1, True, changes)
     return Result(state, updates, False, changes)
@@ -130,12 +130,18 @@ def change(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(old.select("id", F.col("pr").alias("old")), "id").agg(F.sum(d).alias("total"), F.avg(d).alias("mean"))
 
 
-def bfs_step(dist: DataFrame, edges: DataFrame) -> DataFrame:
-    """One relaxation: (id, dist); -1 is not reached. ``edges``: src, dst, w."""
+def _relaxed(dist: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, old, dist)."""
     reached = dist.where("dist >= 0").select(F.col("id").alias("src"), "dist")
     near = edges.join(reached, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("near"))
     own = F.when(F.col("dist") >= 0, F.col("dist"))
-    return dist.join(near, "id", "left").select("id", F.coalesce(F.least(own, "near"), F.lit(-1)).cast("long").alias("dist"))
+    new = F.coalesce(F.least(own, "near"), F.lit(-1)).cast("long")
+    return dist.join(near, "id", "left").select("id", F.col("dist").alias("old"), new.alias("dist"))
+
+
+def bfs_step(dist: DataFrame, edges: DataFrame) -> DataFrame:
+    """One relaxation: (id, dist); -1 is not reached. ``edges``: src, dst, w."""
+    return _relaxed(dist, edges).select("id", "dist")
 
 
 def sssp(dist: DataFrame, edges: DataFrame, max_steps: int = 1000) -> Result:
@@ -143,10 +149,10 @@ def sssp(dist: DataFrame, edges: DataFrame, max_steps: int = 1000) -> Result:
     edges = persist_table(edges.select("src", "dst", "w"), "sssp-edges")
     state = persist_table(dist.select("id", F.col("dist").cast("long")), "sssp")
     for i in range(max_steps):
-        new = persist_table(bfs_step(state, edges), "sssp")
-        if not new.join(state.select("id", F.col("dist").alias("old")), "id").where("dist <> old").limit(1).count():
-            return Result(new, i + 1, True)
-        state = new
+        new, seen = persist_observed(_relaxed(state, edges), "sssp", changed=F.count_if(F.col("dist") != F.col("old")))
+        state = new.select("id", "dist")
+        if not seen["changed"]:
+            return Result(state, i + 1, True)
     return Result(state, max_steps, False)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import is_stopword, tokenize
+from ..functions.tokens import exploded, is_stopword
 
 #: Documents of one block of postings. A term that stands in most documents has a list for each
 #: block, so no row and no task has to hold all its postings.
@@ -14,7 +14,7 @@ BLOCK_DOCS = 1 << 20
 
 def term_frequencies(docs: DataFrame, mode: str = "alnum", stopwords: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, tf). ``stopwords``: leave them out."""
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokenize(text_col, mode)).alias("term"))
+    terms = exploded(docs, text_col, mode, F.col(id_col).alias("doc_id"))
     if stopwords:
         terms = terms.where(~is_stopword(F.col("term")))
     return terms.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import persist_table
+from ..scratch import persist_observed, persist_table
 
 
 @dataclass
@@ -53,9 +53,8 @@ def run(program: VertexProgram, vertices: DataFrame, edges: DataFrame, max_super
         arrived = arrived.groupBy("id").agg(program.combine(F.col("m")).alias("message"))
         value = program.compute(step, seen[-1] if seen else {})
         new = state.join(arrived, "id", "left").select("id", F.col("value").alias("old"), value.alias("value"))
-        new = persist_table(new, "vertex-state")
-        row = new.agg(changed.alias("changed"), *[c.alias(k) for k, c in wanted.items()]).first()
-        seen.append(row.asDict())
+        new, row = persist_observed(new, "vertex-state", changed=changed, **wanted)
+        seen.append(row)
         state = new.select("id", "value")
         if program.rests(step, seen[-1]) if program.rests else not seen[-1]["changed"]:
             return VertexResult(state, step + 1, True, seen)
@@ -72,3 +71,8 @@ def shortest_paths(source) -> tuple[VertexProgram, Callable[[DataFrame], DataFra
         sends=F.col("value").isNotNull(),
     )
     return program, lambda ids: ids.select("id", F.when(F.col("id") == source, 0).cast("long").alias("value"))
+
+
+def largest_value() -> VertexProgram:
+    """Every vertex learns the largest value that can reach it."""
+    return VertexProgram(message=F.col("value"), combine=F.max, compute=lambda step, seen: F.greatest("value", "message"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.counting import term_counts
 from ..sources import read_table
-from . import clusters, graphs, pages, text
+from . import clusters, grammars, graphs, pages, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for m in (text, graphs, clusters, pages) for k, f in m.QUERIES.items()}
+    return {k: f for m in (text, graphs, clusters, pages, grammars) for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in (text, graphs, clusters, pages) for k, s in m.ORACLES.items()}
+    return {k: s for m in (text, graphs, clusters, pages, grammars) for k, s in m.ORACLES.items()}

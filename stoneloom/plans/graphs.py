@@ -6,23 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import graph
+from ..operators import corpus, counting, graph, vertex
+from ..scratch import persist_table
 from ..sources import read_table
+from .sql import materialized
+
+#: Ids of nations and customers start here, beyond those of suppliers.
+NATIONS, CUSTOMERS = 1_000_000_000, 2_000_000_000
 
 
 def order_graph(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst): cyclic, with dead ends at the ids divisible by ten."""
-    items = read_table(spark, d, "lineitem")
+    """(src, dst): from supplier to supplier as they follow each other in orders, which has cycles,
+    and from supplier to nation, which are dead ends."""
+    items, suppliers = read_table(spark, d, "lineitem"), read_table(spark, d, "supplier")
     w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     steps = items.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"))
-    return steps.where("dst IS NOT NULL AND src <> dst AND src % 10 <> 0").distinct()
+    ends = suppliers.select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey") + NATIONS).cast("long").alias("dst"))
+    return persist_table(steps.where("dst IS NOT NULL AND src <> dst").union(ends).distinct(), "order-graph")
 
 
 def sparse_graph(spark: SparkSession, d: str) -> DataFrame:
-    """(src, dst) from some customers to suppliers: targets are no sources."""
+    """(src, dst) from customers to suppliers: targets are no sources."""
     orders, items = read_table(spark, d, "orders"), read_table(spark, d, "lineitem")
-    found = orders.where("o_custkey % 50 = 3").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    return found.select((F.col("o_custkey") + 1_000_000).alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    found = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    return persist_table(found.select((F.col("o_custkey") + CUSTOMERS).alias("src"), F.col("l_suppkey").alias("dst")).distinct(), "sparse-graph")
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -118,6 +125,38 @@ def in_links(spark: SparkSession, d: str) -> DataFrame:
     return graph.in_links(order_graph(spark, d))
 
 
+def vertex_sssp(spark: SparkSession, d: str) -> DataFrame:
+    """Shortest paths as a vertex program; null is not reached."""
+    edges = _weighted(order_graph(spark, d))
+    program, vertices = vertex.shortest_paths(1)
+    return vertex.run(program, vertices(nodes_of(edges)), edges).df.select("id", F.col("value").alias("dist"))
+
+
+def vertex_largest(spark: SparkSession, d: str) -> DataFrame:
+    """Three supersteps of passing on the largest id."""
+    edges = order_graph(spark, d)
+    nodes = nodes_of(edges).select("id", F.col("id").alias("value"))
+    return vertex.run(vertex.largest_value(), nodes, edges, max_supersteps=3).df
+
+
+def first_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Of several adjacency rows of an order the one with most links."""
+    rows = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), "l_returnflag")
+    rows = rows.agg(F.sort_array(F.collect_set("l_suppkey")).alias("links"))
+    return graph_rows(corpus.first_by_id(rows.select("id", "links")))
+
+
+def residue_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by partition where the key's rest modulo seven is the partition."""
+    dealt = counting.by_residue(read_table(spark, d, "orders").select("o_custkey"), "o_custkey", 7)
+    return dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("keys"))
+
+
+def graph_rows(nodes: DataFrame) -> DataFrame:
+    """Links as text."""
+    return nodes.select("id", F.array_join(F.transform("links", lambda x: x.cast("string")), " ").alias("links"))
+
+
 QUERIES = {
     "pr_step": pr_step,
     "pr_total_mass": pr_total_mass,
@@ -133,17 +172,22 @@ QUERIES = {
     "bfs_step": bfs_step,
     "sssp": sssp,
     "in_links": in_links,
+    "vertex_sssp": vertex_sssp,
+    "vertex_largest": vertex_largest,
+    "first_by_id": first_by_id,
+    "residue_partitions": residue_partitions,
 }
 
-_G = """WITH e AS (
+_G = f"""WITH e AS (
   SELECT DISTINCT src, dst FROM (
     SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS dst
     FROM lineitem)
-  WHERE dst IS NOT NULL AND src <> dst AND src % 10 <> 0
+  WHERE dst IS NOT NULL AND src <> dst
+  UNION SELECT s_suppkey, s_nationkey + {NATIONS} FROM supplier
 ), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), s AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM e),
 k AS (SELECT count(*)::DOUBLE AS n, 0.15::FLOAT::DOUBLE AS a FROM v), r0 AS (SELECT id, 1.0::DOUBLE AS pr FROM v)"""
-_SPARSE = """WITH e AS (
-  SELECT DISTINCT o_custkey + 1000000 AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 50 = 3
+_SPARSE = f"""WITH e AS (
+  SELECT DISTINCT o_custkey + {CUSTOMERS} AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 ), v AS (SELECT DISTINCT src AS id FROM e), s AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM e),
 k AS (SELECT count(*)::DOUBLE AS n, 0.15::FLOAT::DOUBLE AS a FROM v), r0 AS (SELECT id, 1.0::DOUBLE AS pr FROM v)"""
 
@@ -156,6 +200,10 @@ def _round(i: int, join: str = "FULL") -> str:
     )
 
 
+#: Rounds within which the mass settles here.
+SETTLED = 12
+
+
 def _simple(i: int) -> str:
     return (
         f", m{i} AS (SELECT dst AS id, sum(pr * share) AS p FROM r{i - 1} JOIN s ON id = src GROUP BY dst)"
@@ -200,4 +248,23 @@ ORACLES = {
     # shortest paths have fewer edges than this here; further rounds change nothing
     "sssp": _G + _D0 + "".join(_relax(i) for i in range(1, 13)) + " SELECT id, dist FROM d12",
     "in_links": _G + " SELECT dst AS id, count(*) AS n FROM e GROUP BY dst",
+    "pr_two_phase_converged": materialized(
+        _G
+    + "".join(map(_round, range(1, SETTLED + 1)))
+    + ", m AS (" + " UNION ALL ".join(f"SELECT {i} AS i, sum(p) AS m FROM p{i}" for i in range(1, SETTLED + 1)) + ")"
+    + ", stop AS (SELECT min(b.i) AS i FROM m a JOIN m b ON b.i = a.i + 1 WHERE abs(a.m - b.m) < 0.001)"
+    + ", r AS (" + " UNION ALL ".join(f"SELECT {i} AS i, pr FROM r{i}" for i in range(2, SETTLED + 1)) + ")"
+    + " SELECT count(*) AS ids, round(sum(pr), 6) AS total, CAST(any_value(i) AS INTEGER) AS iterations, true AS converged FROM r JOIN stop USING (i)"
+    ),
+    "vertex_sssp": _G + _D0 + "".join(_relax(i) for i in range(1, 13)) + " SELECT id, CASE WHEN dist >= 0 THEN dist END AS dist FROM d12",
+    "vertex_largest": _G + ", l0 AS (SELECT id, id AS value FROM v)"
+    + "".join(
+        f", l{i} AS (SELECT id, greatest(value, coalesce(m, value)) AS value FROM l{i - 1} LEFT JOIN"
+        f" (SELECT dst AS id, max(value) AS m FROM l{i - 1} JOIN e ON id = src GROUP BY dst) USING (id))"
+        for i in (1, 2, 3)
+    )
+    + " SELECT id, value FROM l3",
+    "first_by_id": "WITH l AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey)) AS links FROM lineitem GROUP BY l_orderkey, l_returnflag)"
+    " SELECT id, array_to_string(links, ' ') AS links FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(links) DESC, links) = 1",
+    "residue_partitions": "SELECT CAST(o_custkey % 7 AS INTEGER) AS part, count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders GROUP BY 1",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.tokens import STOPWORDS
 from ..operators import cooccurrence, counting, index
@@ -31,7 +32,7 @@ def log_mean_by_user(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return lines_of(read_table(spark, d, "benchmark")).select("value")
+    return lines_of(read_table(spark, d, "documents")).select("value")
 
 
 def cooc_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -50,14 +51,20 @@ def cooc_relative(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.relative(cooc_pairs(spark, d)).withColumn("f", F.round("f", 6))
 
 
+def cooc_marker_first(spark: SparkSession, d: str) -> DataFrame:
+    """Totals and counts with their place within the word."""
+    order = Window.partitionBy("w").orderBy(F.desc("is_marginal"), "u")
+    return cooccurrence.marker_first(cooc_pairs(spark, d)).withColumn("place", F.row_number().over(order))
+
+
 def cooc_window2(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.pairs(_lines(spark, d), window=2)
 
 
 def cooc_stripes(spark: SparkSession, d: str) -> DataFrame:
-    """Stripes, one row for each entry."""
+    """Stripes, one row for each entry, and one for each empty stripe."""
     found = cooccurrence.stripes(_lines(spark, d))
-    return found.select("w", F.explode("stripe").alias("u", "n"))
+    return found.select("w", F.explode_outer("stripe").alias("u", "n"))
 
 
 def inv_index_basic(spark: SparkSession, d: str) -> DataFrame:
@@ -95,6 +102,7 @@ QUERIES = {
     "cooc_absolute": cooc_absolute,
     "cooc_marginals": cooc_marginals,
     "cooc_relative": cooc_relative,
+    "cooc_marker_first": cooc_marker_first,
     "cooc_window2": cooc_window2,
     "cooc_stripes": cooc_stripes,
     "inv_index_basic": inv_index_basic,
@@ -121,14 +129,18 @@ def _single(source: str, key: str = "") -> str:
     )
 
 
-def _pairs(window: int, w: str = "lower(ws[i])") -> str:
-    return (
-        f"SELECT {w} AS w, lower(ws[j]) AS u FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM lines) a,"
-        f" LATERAL (SELECT unnest(range(greatest(1, i - {window}), least(len(ws), i + {window}) + 1)) AS j) b WHERE i <> j"
+def _pairs(window: int, w: str = "lower({})") -> str:
+    """CTEs ``words`` (line, place, word) of ``lines`` and ``p`` (w, u)."""
+    sides = " UNION ALL ".join(
+        f"SELECT {w.format(f'{x}.t')} AS w, lower({y}.t) AS u FROM words a JOIN words b ON a.line = b.line AND b.i = a.i + {n}"
+        for n in range(1, window + 1)
+        for x, y in ("ab", "ba")
     )
+    return f"words AS (SELECT line, unnest(ws) AS t, unnest(range(len(ws))) AS i FROM (SELECT row_number() OVER () AS line, ws FROM lines)), p AS ({sides})"
 
 
-_COOC = f"WITH lines AS ({_single('benchmark')}), p AS ({_pairs(1)}), c AS (SELECT w, u, count(*) AS n FROM p GROUP BY w, u) "
+_LINES = f"WITH lines AS ({_single('documents')}), "
+_COOC = f"{_LINES}{_pairs(1)}, c AS (SELECT w, u, count(*) AS n FROM p GROUP BY w, u) "
 _TF = f"WITH a AS ({_ALNUM}), tf AS (SELECT t AS term, doc_id, count(*) AS tf FROM a WHERE t NOT IN ({_STOP}) GROUP BY t, doc_id) "
 
 ORACLES = {
@@ -144,8 +156,12 @@ ORACLES = {
     + "SELECT w, u, n, false AS is_marginal FROM c UNION ALL SELECT w, NULL, CAST(sum(n) AS BIGINT), true FROM c GROUP BY w",
     "cooc_marginals": _COOC + "SELECT w, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY w",
     "cooc_relative": _COOC + "SELECT w, u, n, round(n / sum(n) OVER (PARTITION BY w), 6) AS f FROM c",
-    "cooc_window2": f"WITH lines AS ({_single('benchmark')}), p AS ({_pairs(2)}) SELECT w, u, count(*) AS n FROM p GROUP BY w, u",
-    "cooc_stripes": f"WITH lines AS ({_single('benchmark')}), p AS ({_pairs(1, 'ws[i]')}) SELECT w, u, count(*) AS n FROM p GROUP BY w, u",
+    "cooc_marker_first": _COOC
+    + ", t AS (SELECT w, u, n, false AS is_marginal FROM c UNION ALL SELECT w, NULL, CAST(sum(n) AS BIGINT), true FROM c GROUP BY w)"
+    + " SELECT *, CAST(row_number() OVER (PARTITION BY w ORDER BY is_marginal DESC, u) AS INTEGER) AS place FROM t",
+    "cooc_window2": f"{_LINES}{_pairs(2)} SELECT w, u, count(*) AS n FROM p GROUP BY w, u",
+    "cooc_stripes": f"{_LINES}{_pairs(1, '{}')} SELECT w, u, count(*) AS n FROM p GROUP BY w, u"
+    " UNION ALL SELECT DISTINCT ws[1], NULL, CAST(NULL AS BIGINT) FROM lines WHERE len(ws) = 1 AND ws[1] NOT IN (SELECT w FROM p)",
     "inv_index_basic": f"WITH lines AS ({_single('documents', 'doc_id, ')}), t AS (SELECT doc_id, lower(unnest(ws)) AS term FROM lines) SELECT term, doc_id, count(*) AS tf FROM t GROUP BY 1, 2",
     "inv_index": _TF + "SELECT term, doc_id, tf FROM tf",
     "index_doc_freq": _TF + "SELECT term, count(*) AS df FROM tf GROUP BY term",

@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import os
+from types import SimpleNamespace
+
 import pytest
+from pyspark.sql import functions as F
 
+from stoneloom import scratch
 from stoneloom.functions.tokens import STOPWORDS, tokenize
+from stoneloom.joins import attach
 from stoneloom.operators import cooccurrence, counting, index
 from stoneloom.sources import parse_log
 
@@ -63,6 +69,48 @@ def test_cooccurrence(spark, rows):
     assert found == {"a": {"b": 1}, "A": {"b": 1}, "b": {"a": 2, "c": 1}, "c": {"b": 1}, "solo": {}, "": {}}
 
 
+def test_stripes_in_blocks(spark, rows):
+    """A block is a part of a stripe; words that stood alone and have neighbours elsewhere have no empty one."""
+    lines = spark.createDataFrame([("hub",), ("solo",), *[(f"hub x{i}",) for i in range(200)]], "value string")
+    found = cooccurrence.stripes(lines, block_words=20).collect()
+    hub = [r["stripe"] for r in found if r["w"] == "hub"]
+    assert len(hub) > 4 and all(hub) and {k for s in hub for k in s} == {f"x{i}" for i in range(200)}
+    assert [(r["block"], r["stripe"]) for r in found if r["w"] == "solo"] == [(0, {})]
+
+
+def test_marker_comes_first(spark):
+    counted = cooccurrence.pairs(spark.createDataFrame([("a b c a",)], "value string"))
+    parts = cooccurrence.marker_first(counted).rdd.glom().collect()
+    got = {r["w"]: [x["is_marginal"] for p in parts for x in p if x["w"] == r["w"]] for p in parts for r in p}
+    assert got == {"a": [True, False, False], "b": [True, False, False], "c": [True, False, False]}
+
+
+def test_partition_is_the_rest_of_the_key(spark, rows):
+    got = counting.by_residue(spark.range(-3, 20), "id", 4).select(F.spark_partition_id().alias("p"), "id")
+    assert all(p == i % 4 for p, i in rows(got))
+
+
+def test_joins_without_a_hot_key(spark, rows):
+    df = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(3000)] + [(-1, None)], "id long, k string")
+    groups = df.where("k IS NOT NULL AND k <> 'k0'").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    got = attach(df, groups, "k", "n", ["id"])
+    assert rows(got) == sorted(((i, "hot" if i % 2 else f"k{i}", 1 if i % 2 else i) for i in range(1, 3000)), key=repr)
+    assert attach(df, groups, "k", "n", ["id"], "left").count() == 3001
+
+
+def test_scratch(spark, tmp_path, monkeypatch):
+    """No folder of this machine on a cluster; what was written is deleted when asked for."""
+    monkeypatch.setattr(scratch, "_written", [])
+    df = scratch.persist_table(spark.range(3), "three")
+    path = df.inputFiles()[0].removeprefix("file:")
+    assert df.count() == 3 and os.path.exists(path)
+    scratch.release_scratch(spark)
+    assert not os.path.exists(path)
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://elsewhere:7077"))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        scratch.shared_dir(cluster)
+
+
 def test_window_is_symmetric_and_a_star_is_a_word(spark, rows):
     lines = spark.createDataFrame([("* x * y",), ("p q r s t",)], "value string")
     counted = {(w, u): n for w, u, n in rows(cooccurrence.pairs(lines, window=3))}
