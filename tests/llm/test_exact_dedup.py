@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from stoneloom.llm import exact_dedup as op
 
@@ -25,15 +26,15 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("capacity,depth", [(1 << 20, 16), (1, 16), (1, 2), (3, 0)])
-def test_against_brute_force(spark, rows, capacity, depth):
-    found = op.exact_dedup(spark.createDataFrame(CASES, SCHEMA), capacity=capacity, max_depth=depth)
+@pytest.mark.parametrize("size,depth", [(1 << 20, 16), (1, 16), (1, 2), (300, 0)])
+def test_against_brute_force(spark, rows, size, depth):
+    found = op.exact_dedup(spark.createDataFrame(CASES, SCHEMA), bucket_bytes=size, max_depth=depth)
     assert rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute(CASES), key=repr)
 
 
 def test_hot_group_and_many_texts(spark, rows):
     docs = [(i, "hot" if i % 3 == 0 else f"t {i % 700}") for i in range(4000)]
-    found = op.exact_dedup(spark.createDataFrame(docs, SCHEMA), capacity=50)
+    found = op.exact_dedup(spark.createDataFrame(docs, SCHEMA), bucket_bytes=1000)
     assert rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute(docs), key=repr)
     assert found.select("bucket").distinct().count() > 8
 
@@ -59,6 +60,49 @@ def test_directory_doubles_only_where_it_must():
     assert [numbers[i] for i in range(16)] == sorted(numbers.values())
 
 
+def test_owners_are_ranges_of_buckets_of_equal_load():
+    loads = {i: 10 for i in range(16)}
+    d = op.Directory.build(loads, slot_bits=4, capacity=10)
+    owners = d.owners(loads, 4, 4)
+    assert [owners[c] for c in range(16)] == [(c, c // 4) for c in range(16)]
+    assert op.Directory.build({}, 4, 10).owners({}, 4, 4) == {0: (0, 0)}
+
+
+def test_texts_that_share_a_hash_are_a_chain(spark, rows, monkeypatch):
+    """The bytes decide, also for hot texts: here all hashes are one of two."""
+    real = F.xxhash64
+    monkeypatch.setattr(op.F, "xxhash64", lambda *cols: F.pmod(real(*cols), F.lit(2)))
+    docs = [(i, f"t {i % 37}" if i % 2 else "hot") for i in range(300)]
+    found = op.exact_dedup(spark.createDataFrame(docs, SCHEMA))
+    assert rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute(docs), key=repr)
+    assert found.agg(F.max("chain")).first()[0] > 10
+    monkeypatch.setattr(op, "HOT_SHARE", 2)
+    found = op.exact_dedup(spark.createDataFrame(docs, SCHEMA))
+    assert rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(brute(docs), key=repr)
+
+
+def test_the_directory_of_the_query_splits(spark):
+    """With its own parameters, over 2.5 MB of texts."""
+    found = op.exact_dedup(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert found.select("bucket").distinct().count() > 2
+
+
+def test_one_whole_row_of_each_text_stays(spark, rows):
+    more = SCHEMA + ", record string, t int"
+    docs = [(1, "same text", "a", 1), (1, "same  text", "b", 2), (3, "alpha", "c", 3), (7, "alpha", "d", 4), (7, "beta only here", "e", 5), (None, None, "f", 6), (None, "", "g", 7), (None, "alpha", "h", 8), (2, "q", None, None)]
+    found = rows(op.first_of_each(spark.createDataFrame(docs, more)))
+    assert len(found) == 5 and set(found) <= set(docs)
+    assert sorted((i, (t or "").replace("  ", " ")) for i, t, *_ in found if i) == [(1, "same text"), (2, "q"), (3, "alpha"), (7, "beta only here")]
+    many = [(i, "hot" if i % 3 == 0 else f"t {i % 700}", str(i), i) for i in range(3000)]
+    first = {}
+    for r in many:
+        first.setdefault(r[1], r)
+    assert rows(op.first_of_each(spark.createDataFrame(many, more), bucket_bytes=500)) == sorted(first.values(), key=repr)
+    two = spark.createDataFrame([(i % 2, "a  b") for i in range(8)], SCHEMA)
+    assert rows(op.first_of_each(two)) == [(0, "a  b")]  # as it was, blanks and all
+    assert op.first_of_each(spark.createDataFrame([], more)).columns == ["doc_id", "text", "record", "t"]
+
+
 def test_no_python_in_the_plan(spark):
     found = op.exact_dedup(spark.createDataFrame(CASES[:3], SCHEMA))
     plan = found._jdf.queryExecution().executedPlan().toString()
