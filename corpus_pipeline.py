@@ -6,36 +6,42 @@ Parquet into the shared folder and hands the reread table to the next stage."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stoneloom.llm.common import small_side, table
-from stoneloom.llm.exact_dedup import exact_dedup
+from stoneloom.llm.common import attach_groups, small_side, table
+from stoneloom.llm.exact_dedup import first_of_each
 from stoneloom.llm.minhash_dedup import near_duplicates
 from stoneloom.llm.packing import digests, pack
 from stoneloom.llm.quality import keep_good
 from stoneloom.scratch import persist_table
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` less the rows that ``decided`` (doc_id, kept) drops. Ids of dropped rows are
-    written first; they are broadcast only if their checked number is within the bound."""
-    dropped = persist_table(decided.where("NOT kept").select("doc_id").distinct(), "dropped")
-    # rows without an id match nothing in the anti join and stay
-    return docs.join(small_side(dropped, dropped.count()), "doc_id", "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier keeps."""
+    """Rows that the classifier keeps."""
     return keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of equal texts, the one with the smallest id."""
-    return _without(docs, exact_dedup(docs).select("doc_id", "kept"))
+    """One row of equal texts, the one with the smallest id; ids need be neither unique nor there."""
+    return first_of_each(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8 or more)."""
-    return _without(docs, near_duplicates(docs, percent=80).select("doc_id", "kept"))
+    """One row of each group of near duplicates (five words, similarity 0.8 or more), the one with the
+    smallest id. Rows are told apart by a number of their own, written with them, so ids need be
+    neither unique nor there. Rows without words stay."""
+    number = "row"
+    while number in docs.columns:
+        number += "_"
+    docs = persist_table(docs.withColumn(number, F.monotonically_increasing_id()), "near-rows")
+    found = near_duplicates(docs, percent=80, id_col=number).select(F.col(number).alias("row"), F.col("component_id").alias("c"))
+    ids = docs.select(F.col(number).alias("row"), F.col("doc_id").alias("id"))
+    found = persist_table(found.join(ids, "row"), "near-found")
+    best = found.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = persist_table(best.where("n > 1").select("c", "n", F.col("best.row").alias("stays")), "near-best")
+    grouped = attach_groups(found.select("row", "c"), best, "c", "n", "row")
+    dropped = persist_table(grouped.where("group.stays <> row").select(F.col("row").alias(number)), "near-dropped")
+    return docs.join(small_side(dropped, dropped.count()), number, "left_anti").drop(number)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
