@@ -2,15 +2,20 @@
 
 Every task packs the documents of its own partition in order; nothing is shuffled. A document
 is its token ids and one end id. Whole windows are cut off its front; the rest, shorter than a
-window, goes to the fill level that minimises the sum of squared counts of partially filled
-windows. ``Levels.counts[h]`` is the number of open windows filled to h; moving one window from
-level h to h + s changes the sum by 2 * (counts[h + s] - counts[h]) + 2, a new window by
-2 * counts[s] + 1, and filling one up by 1 - 2 * counts[h], so one pass over the array decides.
-Ties go to the fuller window.
-
-Open windows hold their pieces until they are full. When ``max_open`` are open, and at the end
-of the partition, they are strung together and cut anew into full windows, which bounds memory
-and leaves at most one padded window in a partition. A window's number is the partition's number
+window, is placed by the fill levels of the open windows. ``Levels.counts[c]`` is the number of open
+windows filled to between c and c + 1 granules of ``GRANULE`` ids; a piece goes where the sum of the
+squares of these counts becomes the least:
+
+* whole onto an open window, which moves from level c to level d: 2 * (counts[d] - counts[c]) + 2, or 0 on the same level;
+* onto a window that it fills, its overhang of less than a granule cut off and placed in turn: 1 - 2 * counts[c];
+* onto a window that it fills with a longer overhang, which is placed in turn: as much, and ``CUT`` for the cut;
+* into a new window at level c: 2 * counts[c] + 1.
+
+Ties go to the fuller window. Levels in granules let windows fill up to the last id: a piece need
+not match a gap exactly. The cost of new windows grows with their level's count, that of a cut does
+not, so a level holds a handful of windows and memory is bounded. Windows that are open at the end
+of the partition are completed in order, the fullest first, from the pieces of the emptiest; at most one
+window of a partition is padded. A window's number is the partition's number
 in the upper bits and a count in the lower 32, so a task that runs again numbers alike.
 
 The ids are those of the tokenizers library for the given file: the file's vocabulary is in
@@ -39,6 +44,8 @@ from .common import table
 
 WINDOW = 1024
 END = 0
+#: Ids of a fill level; squares that a cut with a longer overhang must save.
+GRANULE, CUT = 64, 16
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -85,52 +92,70 @@ def token_ids(text: str, path: str) -> np.ndarray:
 class Levels:
     """Open windows by fill level. A piece is (row, start, ids)."""
 
-    def __init__(self, window: int):
-        self.window = window
-        self.counts = np.zeros(window + 1, np.int64)
-        self.open: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
-        self.n_open = 0
-
-    def place(self, piece: tuple) -> list[tuple] | None:
-        """Returns the window's pieces if this one fills it."""
-        s, w = len(piece[2]), self.window
-        counts = self.counts
-        cost = 2 * (counts[s : w + 1] - counts[: w - s + 1]) + 2  # by level 0 to w - s
-        cost[counts[: w - s + 1] == 0] = np.iinfo(np.int64).max
-        cost[0] = 2 * counts[s] + 1
-        if counts[w - s]:
-            cost[w - s] = 1 - 2 * counts[w - s]
-        level = w - s - int(np.argmin(cost[::-1]))
-        pieces = self.open[level].pop() if level else []
-        pieces.append(piece)
-        if level:
-            counts[level] -= 1
-            self.n_open -= 1
-        if level + s == w:
-            return pieces
-        self.open[level + s].append(pieces)
-        counts[level + s] += 1
-        self.n_open += 1
-        return None
-
-    def drain(self) -> Iterator[list[tuple]]:
-        """Strings all open windows together and cuts them into full ones; the last may be short."""
-        now: list[tuple] = []
-        room = self.window
-        for level in self.open:
-            for pieces in level:
-                for row, start, ids in pieces:
-                    while len(ids):
-                        now.append((row, start, ids[:room]))
-                        start, ids, room = start + len(ids[:room]), ids[room:], room - len(ids[:room])
-                        if not room:
-                            yield now
-                            now, room = [], self.window
-            level.clear()
-        if now:
-            yield now
-        self.counts[:] = 0
-        self.n_open = 0
+    def __init__(self, window: int, granule: int = GRANULE):
+        self.window, self.granule = window, granule
+        n = -(-window // granule)
+        self.counts = [0] * n
+        self.open: list[list[tuple[int, list[tuple]]]] = [[] for _ in range(n)]  # (fill, pieces)
+
+    @property
+    def n_open(self) -> int:
+        return sum(self.counts)
+
+    def _add(self, fill: int, pieces: list[tuple]) -> None:
+        self.open[fill // self.granule].append((fill, pieces))
+        self.counts[fill // self.granule] += 1
+
+    def place(self, piece: tuple) -> Iterator[list[tuple]]:
+        """Places a piece shorter than a window; gives the pieces of every window that becomes full."""
+        counts, w, g = self.counts, self.window, self.granule
+        while True:
+            row, start, ids = piece
+            size = len(ids)
+            best, at = 2 * counts[size // g] + 1, -1
+            for c, n in enumerate(counts):
+                if n:
+                    total = self.open[c][-1][0] + size
+                    if total < w:
+                        d = total // g
+                        cost = 0 if d == c else 2 * (counts[d] - n) + 2
+                    else:
+                        cost = 1 - 2 * n + (CUT if total - w >= g else 0)
+                    if cost <= best:  # the fuller one among equals
+                        best, at = cost, c
+            if at < 0:
+                self._add(size, [piece])
+                return
+            fill, pieces = self.open[at].pop()
+            counts[at] -= 1
+            if fill + size < w:
+                self._add(fill + size, [*pieces, piece])
+                return
+            room = w - fill
+            yield [*pieces, (row, start, ids[:room])]
+            if room == size:
+                return
+            piece = (row, start + room, ids[room:])
+
+    def finish(self) -> Iterator[list[tuple]]:
+        """Completes the open windows, the fullest first, from the emptiest; the last may be short."""
+        left = sorted((x for level in self.open for x in level), key=lambda x: x[0])
+        self.__init__(self.window, self.granule)
+        rest: list[tuple] = []  # pieces taken from the emptiest windows
+        while left:
+            fill, pieces = left.pop()
+            room = self.window - fill
+            while room and (rest or left):
+                if not rest:
+                    rest = left.pop(0)[1][::-1]
+                row, start, ids = rest.pop()
+                pieces = [*pieces, (row, start, ids[:room])]
+                if len(ids) > room:
+                    rest.append((row, start + room, ids[room:]))
+                room -= min(room, len(ids))
+            yield pieces
+        if rest:
+            yield rest[::-1]
 
 
 SCHEMA = pa.schema(
@@ -145,7 +170,7 @@ SCHEMA = pa.schema(
 )
 
 
-def packer(path: str, window: int = WINDOW, end: int = END, max_open: int = 4096, flush_bytes: int = 8 << 20):
+def packer(path: str, window: int = WINDOW, end: int = END, flush_bytes: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         levels, number = Levels(window), 0
@@ -176,15 +201,11 @@ def packer(path: str, window: int = WINDOW, end: int = END, max_open: int = 4096
                 for at in range(0, whole, window):
                     emit([(row, at, ids[at : at + window])])
                 if whole < len(ids):
-                    full = levels.place((row, whole, ids[whole:].copy()))
-                    if full:
+                    for full in levels.place((row, whole, ids[whole:].copy())):
                         emit(full)
-                    if levels.n_open >= max_open:
-                        for pieces in levels.drain():
-                            emit(pieces)
                 if held >= flush_bytes:
                     yield batch()
-        for pieces in levels.drain():
+        for pieces in levels.finish():
             emit(pieces)
         if out:
             yield batch()

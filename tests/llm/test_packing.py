@@ -62,37 +62,74 @@ def test_long_blanks(spark):
     check(run(spark, docs), docs)
 
 
-def cost(counts):
-    return sum(int(c) ** 2 for c in counts[1:-1])
+def squares(counts):
+    return sum(n * n for n in counts)
 
 
-def test_places_minimise_the_sum_of_squares():
+def overhang(pieces, row, size):
+    """What of the document is not in the window."""
+    return size - sum(len(p[2]) for p in pieces if p[0] == row)
+
+
+@pytest.mark.parametrize("window,granule", [(32, 1), (1024, 64), (100, 30)])
+def test_places_minimise_the_sum_of_squares(window, granule):
+    """Against trying every place: levels, and the extra for a long cut."""
     rng = np.random.default_rng(4)
-    window = 32
-    levels = op.Levels(window)
-    for i in range(2000):
-        before = levels.counts.copy()
+    levels = op.Levels(window, granule)
+    for i in range(3000):
         size = int(rng.integers(1, window))
+        before = levels.counts.copy()
         options = []
-        for h in [0, *np.flatnonzero(before[1:]) + 1]:
-            if h + size <= window:
-                after = before.copy()
-                after[h] -= h > 0
-                if h + size < window:
-                    after[h + size] += 1
-                options.append(cost(after))
-        full = levels.place((i, 0, np.zeros(size, np.uint32)))
-        assert cost(levels.counts) == min(options)
-        assert levels.n_open == levels.counts.sum() == sum(map(len, levels.open))
-        if full:
-            assert sum(len(p[2]) for p in full) == window
-    rest = list(levels.drain())
+        for c in [-1, *range(len(before))]:
+            fill = levels.open[c][-1][0] if c >= 0 and levels.open[c] else 0
+            if c >= 0 and not fill:
+                continue
+            after = before.copy()
+            if c >= 0:
+                after[c] -= 1
+            if fill + size < window:
+                after[(fill + size) // granule] += 1
+            options.append((squares(after) + (op.CUT if fill + size - window >= granule else 0), max(0, fill + size - window)))
+        full = list(levels.place((i, 0, np.zeros(size, np.uint32))))
+        assert all(sum(len(p[2]) for p in w) == window for w in full)
+        least = min(options)[0]
+        if not full or len(full) == 1 and not overhang(full[0], i, size):
+            assert squares(levels.counts) == least
+        assert levels.counts == [len(x) for x in levels.open]
+        assert all(f // granule == c and f == sum(len(p[2]) for p in pieces) for c, x in enumerate(levels.open) for f, pieces in x)
+    rest = list(levels.finish())
     assert all(sum(len(p[2]) for p in w) == window for w in rest[:-1]) and levels.n_open == 0
 
 
-def test_open_windows_are_bounded(spark):
+def test_open_windows_are_bounded():
+    """Also where no two pieces fit into one window."""
+    rng = np.random.default_rng(5)
+    for low, high in ((513, 620), (1, 1024), (500, 524), (1000, 1024), (1, 3)):
+        levels = op.Levels(1024)
+        for i in range(5000):
+            for _ in levels.place((i, 0, np.zeros(int(rng.integers(low, high)), np.uint8))):
+                pass
+            assert levels.n_open < 16 * op.CUT
+
+
+def test_placement_fills_the_windows(spark):
+    """Over a table: most windows that are not cut off whole are filled by placement, few at the end, and padding is small."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    levels, placed = op.Levels(op.WINDOW), 0
+    for i, t in enumerate(texts):
+        n = (len(op.token_ids(t or "", op.default_vocabulary())) + 1) % op.WINDOW
+        placed += len(list(levels.place((i, 0, np.zeros(n, np.uint8))))) if n else 0
+    at_end = list(levels.finish())
+    assert placed > 20 * len(at_end) and sum(len(p[2]) for w in at_end for p in w) > op.WINDOW * (len(at_end) - 1)
+
+
+def test_null_ids_and_small_batches(spark):
     docs = [(i, "word " * (i % 37)) for i in range(400)]
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     schema = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
-    pieces = df.mapInArrow(op.packer(op.default_vocabulary(), 64, max_open=4, flush_bytes=64), schema)
+    pieces = df.mapInArrow(op.packer(op.default_vocabulary(), 64, flush_bytes=64), schema)
     check(op.digests(pieces).collect(), docs, 64)
+    null = op.digests(op.pack(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string").coalesce(1))).collect()
+    assert sorted(p["doc_tokens"] for p in null) == [1, 3] and {p["doc_id"] for p in null} == {None}
