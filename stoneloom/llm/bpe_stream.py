@@ -6,17 +6,22 @@ fits the encoding of the prefix before it, and these prefixes form a tree. A lat
 start at one of the last ``lookahead`` positions only, ``lookahead`` being the length in symbols
 of the longest token the merge list can build; what the tree's paths from all these positions
 share is stable, is emitted and forgotten. Memory is that window and the table of neighbour
-tests, both bounded by constants of the merge list, however long the word. Words within the
-lookahead are stable only at their end and are merged at once.
+tests, both bounded by constants of the merge list, however long the word. Every word goes this way;
+what it gave is remembered for words met again.
 
-Texts pass as words of the vocabulary's own rules: special tokens, canonical composition, lower
-case, letters, single digits and runs of other characters. Characters up to U+0557 are handled
-here; texts with others use the library's Unicode tables for these rules, as the tables of
-Python differ from them for some characters. Ids go on in blocks of ``BLOCK`` words.
+Two tokens are neighbours unless the merge list joins across their border: the merges of both are
+taken back, the latest first, and at every step the pair at the border must have no merge that is
+due before what has been taken back. This needs a token's parts to be older than itself and to be
+its only parts; other merge lists are tested by merging.
 
-Decoding is incremental too: token by token, with blanks between tokens where the file names no
-decoder (as the library does), else bytes through a UTF-8 state machine that holds at most
-three bytes back.
+Texts pass in blocks of about ``BLOCK`` characters that end at a blank, which no word spans, and
+blocks as words of the vocabulary's own rules: special tokens, canonical composition, lower
+case, letters, single digits and runs of other characters. Blocks with characters up to U+0557 are
+handled here; others use the library's Unicode tables for these rules, as the tables of
+Python differ from them for some characters.
+
+Decoding is a state machine that takes the stream of ids: blanks between tokens where the file names no
+decoder (as the library does), else bytes through a UTF-8 machine that holds at most three bytes back.
 
 Defined results: a null text is empty, with no tokens; equal rows are encoded each; a null id
 stays null; other columns play no part.
@@ -43,7 +48,8 @@ from .common import table
 #: Stands for the end-of-word suffix inside symbols, so that it can't be confused with text.
 END = "￿"
 CACHE = 1 << 19
-BLOCK = 1 << 16
+BLOCK = 1 << 18
+BLANK = regex.compile(r"[ \t\n\r]")
 PLAIN = regex.compile(r"[\x00-՗]*+")
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -72,10 +78,22 @@ class MergeList:
         self.ids = {own(t): i for t, i in vocab.items()}
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.rank = {(own(a), own(b)): i for i, (a, b) in enumerate(pairs)}
-        self.tokens = set(self.ids)
+        self.fits: dict[tuple[str, str], bool] = {}
+        #: Rank and parts of every token that is merged; ranks of symbols are below all.
+        self.made = {a + b: (i, a, b) for i, ((a, b), _) in reversed(list(enumerate(self.rank.items())))}
+        self.plain = len(self.made) == len(self.rank) and all(
+            self.made.get(x, (-1,))[0] < i for (a, b), i in self.rank.items() for x in (a, b)
+        )
+        #: Tokens that are the encoding of their own text.
+        self.tokens = {t for t in self.ids if len(self.split(t)) == 1} | {t for t in self.made if t in self.ids and self._alone(t)}
         #: In symbols; the mark is no symbol of its own.
         self.lookahead = max((len(own(a)) + len(own(b)) - own(b).endswith(END) for a, b in pairs), default=1)
-        self.fits: dict[tuple[str, str], bool] = {}
+
+    def _alone(self, token: str) -> bool:
+        if not self.plain:
+            return self.merged(self.split(token)) == [token]
+        due, a, b = self.made[token]
+        return self._apart(a, b, due) and all(x not in self.made or self._alone(x) for x in (a, b))
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merge list applied to the whole of ``symbols``."""
@@ -109,39 +127,58 @@ class MergeList:
         if found is None:
             if len(self.fits) >= CACHE:
                 self.fits.clear()
-            found = self.fits[a, b] = self.merged(self.split(a) + self.split(b)) == [a, b]
+            test = self._apart if self.plain else lambda a, b: self.merged(self.split(a) + self.split(b)) == [a, b]
+            found = self.fits[a, b] = test(a, b)
         return found
 
+    def _apart(self, a: str, b: str, due: int | None = None) -> bool:
+        """``due``: merges before it come before what has been taken back."""
+        rank, made, symbol = self.rank.get, self.made.get, (-1, "", "")
+        none = len(self.rank)
+        due = none if due is None else due
+        while True:
+            if rank((a, b), none) < due:
+                return False
+            of_a, of_b = made(a, symbol), made(b, symbol)
+            if of_a[0] > of_b[0]:
+                due, a = of_a[0], of_a[2]
+            elif of_b[0] < 0:
+                return True
+            else:  # of merges of one rank the one further left comes first: that at the border
+                due, b = of_b[0] + 1, of_b[1]
+
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word, each as soon as it is stable."""
-        base = 0  # symbols before it have been emitted
-        window: list[str] = []  # symbols after base
-        last: list[str] = []  # last token of the prefix that ends there
-        fixed = ""  # the token before base
+        window = ""  # symbols that have not been emitted; only the last of a word has two characters
+        last: list[str | None] = []  # last token of the prefix that ends there
+        fixed = ""  # the token before the window
+        tokens, fits = self.tokens, self.fits
         for symbol in symbols:
-            window.append(symbol)
-            n = len(window)
-            text = ""
-            for start in range(n - 1, max(-1, n - 1 - self.lookahead), -1):
-                text = window[start] + text
-                if text not in self.tokens:
-                    continue
-                before = last[start - 1] if start else fixed
-                if before is not None and (not before or self.neighbours(before, text)):
-                    last.append(text)
-                    break
-            else:
-                last.append(None)
+            window += symbol
+            last.append(None)
+            n = len(last)
+            # one token fits; a longer one is the likelier
+            for start in range(max(0, n - self.lookahead), n):
+                text = window[start:]
+                if text in tokens:
+                    before = last[start - 1] if start else fixed
+                    if before is not None:
+                        fit = not before or fits.get((before, text))
+                        if fit is None:
+                            fit = self.neighbours(before, text)
+                        if fit:
+                            last[-1] = text
+                            break
             if n >= 2 * self.lookahead:
                 stable = self._stable(last)
                 if stable:
                     path = self._path(last, stable)
                     yield from path
                     fixed = path[-1]
-                    del window[:stable], last[:stable]
-                    base += stable
-        if window:
-            yield from self._path(last, len(window))
+                    window = window[stable:]
+                    del last[:stable]
+        if last:
+            yield from self._path(last, len(last))
 
     def _length(self, token: str) -> int:
         return len(token) - (len(token) > 1 and token.endswith(END))
@@ -167,7 +204,41 @@ class MergeList:
             return []
         if self.suffix:
             symbols[-1] += END
-        return self.merged(symbols) if len(symbols) <= self.lookahead else list(self.stream(symbols))
+        return list(self.stream(symbols))
+
+
+class _Known(dict):
+    """Ids of words met before; words of up to 64 characters are remembered."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.codec.word_ids(word)
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
+
+
+class Decoder:
+    """Ids to text, as they come: ``feed`` gives what has become known, ``end`` the rest."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.begun = False
+        self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        if self.codec.byte_level:
+            return self.bytes.decode(b"".join(map(self.codec.raw.__getitem__, ids)))
+        lead = " " if self.begun else ""
+        self.begun = True
+        return lead + " ".join(map(self.codec.token.__getitem__, ids))
+
+    def end(self) -> str:
+        return self.bytes.decode(b"", True)
 
 
 class Codec:
@@ -185,7 +256,8 @@ class Codec:
         self.characters = _byte_characters()
         self.byte = {c: i for i, c in enumerate(self.characters)}
         self.cuts = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.decimal = {i: str(i) for i in self.token}
+        self.known = _Known(self)
 
     @functools.cached_property
     def library(self):
@@ -194,17 +266,22 @@ class Codec:
         t = Tokenizer.from_file(self.path)
         return t.normalizer, t.pre_tokenizer
 
-    def words(self, text: str) -> Iterable[str]:
-        """Words of a text without special tokens."""
+    @functools.cached_property
+    def raw(self) -> dict[int, bytes]:
+        special = set(self.special.values())
+        return {i: t.encode() if i in special else bytes(self.byte[c] for c in t) for i, t in self.token.items()}
+
+    def words(self, text: str) -> list[str]:
+        """Words of a block without special tokens."""
         if PLAIN.fullmatch(text):
             text = unicodedata.normalize("NFC", text)
             if PLAIN.fullmatch(text):
                 # the library lowers character by character, without the final form of sigma
                 text = text.replace("Σ", "σ").lower()
-                return WORD.findall(text) if len(text) < 1 << 20 else (m[0] for m in WORD.finditer(text))
+                return WORD.findall(text)
         normalizer, pre = self.library
         text = normalizer.normalize_str(text)
-        return (bytes(self.byte[c] for c in w).decode() for w, _ in pre.pre_tokenize_str(text))
+        return [bytes(self.byte[c] for c in w).decode() for w, _ in pre.pre_tokenize_str(text)]
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Pieces of a text in order, and whether each is a special token."""
@@ -221,69 +298,52 @@ class Codec:
         ids = self.merges.ids
         return [ids[t] for t in self.merges.encode_word(symbols)]
 
-    def encode(self, text: str | None) -> Iterator[int]:
+    def blocks(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > BLOCK:
+            blank = BLANK.search(text, at + BLOCK)
+            end = blank.start() if blank else len(text)
+            yield text[at:end]
+            at = end
+        yield text[at:]
+
+    def id_blocks(self, text: str | None) -> Iterator[list[int]]:
+        """Ids of a text, block by block."""
         for part, special in self.segments(text or ""):
             if special:
-                yield self.special[part]
-            elif part:
-                for word in self.words(part):
-                    yield from self.word_ids(word)
+                yield [self.special[part]]
+                continue
+            for block in self.blocks(part):
+                if len(self.known) >= CACHE:
+                    self.known.clear()
+                yield list(itertools.chain.from_iterable(map(self.known.__getitem__, self.words(block))))
+
+    def encode(self, text: str | None) -> Iterator[int]:
+        return itertools.chain.from_iterable(self.id_blocks(text))
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of text, as soon as they are known."""
-        if not self.byte_level:
-            for n, i in enumerate(ids):
-                yield f" {self.token[i]}" if n else self.token[i]
-            return
-        state = codecs.getincrementaldecoder("utf-8")("replace")
+        state = Decoder(self)
         for i in ids:
-            token = self.token[i]
-            raw = token.encode() if i in self.special.values() else bytes(self.byte[c] for c in token)
-            piece = state.decode(raw)
+            piece = state.feed([i])
             if piece:
                 yield piece
-        piece = state.decode(b"", True)
+        piece = state.end()
         if piece:
             yield piece
 
-    def known(self, word: str) -> tuple[int, str, str]:
-        """Tokens, decimal ids and decoded text of a word; the table of known words is bounded."""
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        ids = self.word_ids(word)
-        found = len(ids), " ".join(map(str, ids)), "".join(self.decode(ids))
-        if len(word) <= 64:
-            self.cache[word] = found
-        return found
-
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, digest of the ids and of the decoded text, in blocks of words."""
-        encoded, decoded = hashlib.sha256(), hashlib.sha256()
+        """Number of tokens, digest of the ids and of the decoded text."""
+        encoded, decoded, state = hashlib.sha256(), hashlib.sha256(), Decoder(self)
         n = 0
-        for part, special in self.segments(text or ""):
-            if special:
-                words: Iterable[str] = [part]
-                blocks = iter([[(1, str(self.special[part]), part)]])
-            else:
-                words = self.words(part)
-                blocks = self._blocks(words)
-            for block in blocks:
-                lead = b" " if n else b""
-                encoded.update(lead + " ".join([x[1] for x in block]).encode())
-                decoded.update(lead + " ".join([x[2] for x in block]).encode())
-                n += sum([x[0] for x in block])
+        for ids in self.id_blocks(text):
+            if ids:
+                encoded.update(((" " if n else "") + " ".join(map(self.decimal.__getitem__, ids))).encode())
+                decoded.update(state.feed(ids).encode())
+                n += len(ids)
+        decoded.update(state.end().encode())
         return n, encoded.hexdigest(), decoded.hexdigest()
 
-    def _blocks(self, words: Iterable[str]) -> Iterator[list[tuple[int, str, str]]]:
-        cache, known = self.cache, self.known
-        if isinstance(words, list) and len(words) <= BLOCK:
-            chunks: Iterable[list[str]] = [words] if words else []
-        else:
-            source = iter(words)
-            chunks = iter(lambda: list(itertools.islice(source, BLOCK)), [])
-        for chunk in chunks:
-            yield [cache.get(w) or known(w) for w in chunk]
-
 
 @functools.lru_cache(4)
 def codec(path: str) -> Codec:

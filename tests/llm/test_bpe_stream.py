@@ -85,6 +85,54 @@ def test_bytes_come_out_when_complete(tmp_path):
         assert "".join(c.decode(ids[:k])) == b"".join(raw[:k]).decode("utf-8", "replace")
 
 
+def test_every_word_goes_through_the_transducer(library, monkeypatch):
+    c = op.Codec(op.default_vocabulary())
+    streamed = []
+    stream = c.merges.stream
+    monkeypatch.setattr(c.merges, "stream", lambda symbols: streamed.append(len(symbols)) or stream(symbols))
+    monkeypatch.setattr(c.merges, "merged", None)  # no other way is left
+    text = "The transducer takes every word, short or " + "very" * 200 + " long, once; the same word again is known."
+    assert list(c.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert len(streamed) == len(set(c.words(text))) and max(streamed) == 800 and min(streamed) == 1
+
+
+def test_neighbours_against_merging(library):
+    """The test at the border of two tokens gives what the merge list makes of them."""
+    merges = op.codec(op.default_vocabulary()).merges
+    assert merges.plain
+    r = random.Random(8)
+    tokens = sorted(t for t in merges.tokens if merges.merged(merges.split(t)) == [t])
+    starts = [t for t in tokens if op.END not in t]
+    short = [t for t in starts if len(t) < 4]
+    for a, b in [*((r.choice(starts), r.choice(tokens)) for _ in range(4000)), *((r.choice(short), r.choice(short)) for _ in range(4000))]:
+        assert merges._apart(a, b) == (merges.merged(merges.split(a) + merges.split(b)) == [a, b]), (a, b)
+    joined = [(a[: len(a) - n], a[len(a) - n :]) for a in starts[:4000] for n in (1, 2) if len(a) > 3]
+    for a, b in joined:
+        if a in merges.tokens and b in merges.tokens and merges.merged(merges.split(a)) == [a] and merges.merged(merges.split(b)) == [b]:
+            assert merges._apart(a, b) == (merges.merged(merges.split(a) + merges.split(b)) == [a, b]), (a, b)
+
+
+def test_merge_lists_of_another_kind():
+    """Two ways to one token, and a part younger than the whole: then the merge list itself is the test."""
+    symbols = {c: i for i, c in enumerate("abcd")}
+    for pairs in ([("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc"), ("abc", "d")], [("ab", "c"), ("a", "b"), ("c", "d"), ("ab", "cd")]):
+        vocab = symbols | {a + b: 10 + i for i, (a, b) in enumerate(pairs)}
+        merges = op.MergeList(vocab, pairs, None)
+        assert not merges.plain
+        r = random.Random(9)
+        for _ in range(500):
+            word = [r.choice("abcd") for _ in range(r.randint(1, 30))]
+            assert list(merges.stream(word)) == merges.merged(word)
+
+
+def test_megabytes_of_short_words_and_blocks(library, monkeypatch):
+    text = "some short words, é and 中文 \n ́x " * 40_000
+    same(library, text)
+    monkeypatch.setattr(op, "BLOCK", 7)
+    for part in (text[:3000], " \n\n" * 50, "x" * 100 + " y", "don't  <|endoftext|> we'll " * 5):
+        same(library, part)
+
+
 def test_operator(spark, rows):
     docs = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "a"), (1, None), (2, "a"), (2, "a")]
     df = spark.createDataFrame([(i, t, "clash") for i, t in docs], "doc_id long, text string, n_tokens string")
