@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
+from stoneloom.llm import html_extract as op
 from stoneloom.llm.html_extract import extract, main_text
 
 P1 = "The first paragraph of the article is long enough to count, has commas, and says something about the matter at hand."
@@ -80,6 +84,84 @@ def test_topics_are_no_noise(says):
         assert main_text(f"<article>{BODY}<{says}>{rest}</{kind}></article>") == WANT
 
 
+@pytest.mark.parametrize(
+    "part,text",
+    [
+        (f"<p class=warning>{P2}</p>", P2),
+        ("<p class=warning>Mind the gap</p>", "Mind the gap"),
+        ("<p class=popular>It was liked</p>", "It was liked"),
+        (f"<div class=legal><p>{P2}</p></div>", P2),
+        (f"<section id=search><p>{P2}</p></section>", P2),
+        (f"<div class=social-history><p>{P2}</p></div>", P2),
+        ("<p>Let <math><mi>x</mi></math> be</p>", "Let x be"),
+        ("<h2>References</h2><ul><li><a href=1>One, A book</a></li><li><a href=2>Two</a></li></ul>", "References\n\nOne, A book\n\nTwo"),
+        ("<p>AT&<b>amp;</b>T</p>", "AT&amp;T"),
+    ],
+)
+def test_nothing_inside_an_article_is_dropped(part, text):
+    for around in ("article", "div", "main", "section", "td"):
+        assert main_text(f"<body><{around}><h1>Title</h1><p>{P1}</p><p>{P1}</p>{part}</{around}></body>") == f"Title\n\n{P1}\n\n{P1}\n\n{text}", around
+
+
+def test_scores_choose_between_articles():
+    """The tag is a term of the score, not the answer: the teaser's article loses to the text without one."""
+    teaser = "<article><h2>Other</h2><p><a href=x>Read it, and more</a></p></article>"
+    html = f"<body><div>{teaser}</div><div><h1>Title</h1><p>{P1}</p><p>{P2}</p><p>{P1}</p></div></body>"
+    assert main_text(html) == f"Title\n\n{P1}\n\n{P2}\n\n{P1}"
+
+
+def test_levels_above_the_best_container():
+    html = f"<body><div><div class=intro><p>{P1}</p></div><div><h1>Title</h1><div><p>{P2}</p><p>{P2}</p><p>{P1}</p></div></div></div><div><p>Short one.</p></div></body>"
+    assert main_text(html) == f"{P1}\n\nTitle\n\n{P2}\n\n{P2}\n\n{P1}"
+
+
+def naive_scores(nodes, blocks):
+    """Every container's score by the definition, from the whole tree each time."""
+
+    def under(node, top):
+        while node and node is not top:
+            if node.gone:
+                return False
+            node = node.parent
+        return node is top
+
+    def points(c):
+        own = sum(op.points_of(t, k) for h, t, k in blocks if h.container is c and h.kind not in op.HEADINGS and not h.head)
+        below = [points(x) for x in nodes if x is not c and x.parent and x.container is x and x.parent.container is c and not x.gone]
+        below = [x for x in below if x]
+        return own + (below[0] if len(below) == 1 and not own else sum(below) / 2)
+
+    out = []
+    for c in nodes:
+        if c.container is c and not c.gone:
+            held = [(t, k) for h, t, k in blocks if under(h, c) and not h.head]
+            size, links = sum(len(t) for t, _ in held), sum(k for _, k in held)
+            out.append((points(c) * c.boost * (1 - min(1, links / max(1, size)))))
+    return out
+
+
+def test_scores_against_the_definition():
+    r = random.Random(3)
+    for _ in range(60):
+        html, open_ = "", []
+        for _ in range(r.randint(1, 60)):
+            kind = r.choice(["div", "div", "section", "article", "p", "ul", "li", "h2", "a", "td", "header", "div class=legal", "div class=content", "blockquote"])
+            html += r.choice([f"<{kind}>", f"<{kind}>{P1[: r.randint(1, 110)]}", f"<{kind}>{r.choice([P1, P2])}</{kind.split()[0]}>", "</div>", "x, y"])
+        nodes, blocks = op.tree_of(html)
+        op.weigh(nodes, blocks)
+        assert [x.score for x in nodes if x.container is x and not x.gone] == pytest.approx(naive_scores(nodes, blocks))
+
+
+def test_time_is_in_proportion_to_the_page():
+    def seconds(html):
+        began = time.process_time()
+        main_text(html)
+        return time.process_time() - began
+
+    for part in ("<div>word here,", "<b><p>word", "<div></section>x", "<ul><li>x"):
+        assert seconds(part * 8_000) < 20 * max(0.01, seconds(part * 1_000)), part
+
+
 def test_operator(spark, rows):
     df = spark.createDataFrame(
         [(1, "u", f"<article>{BODY}</article>", "clash"), (1, "u", f"<article>{BODY}</article>", "clash"), (None, None, None, None), (3, "v", "", "x")],
