@@ -16,7 +16,7 @@ training moves it on. Input of a word is its row, or its class's, in a table.
 from window to window. A round takes a ``1 / SLICES`` part of the training documents by a hash
 of the id, and there are as many rounds as parts, so every training document is trained on once:
 every task trains on its share from the same start, in stretches of bounded length, and the
-weights are averaged, by groups of tasks first.
+weights are averaged by a tree, ``FAN_IN`` tasks at a time.
 
 *Scoring.* A task lays its documents end to end in lanes of about equal length, longest first,
 and runs all lanes step by step; state is carried across windows and cleared where a document
@@ -33,6 +33,7 @@ import functools
 import itertools
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,7 +50,7 @@ from .common import table
 HIDDEN = 24
 MODEL_WORDS, CLASS_WORDS = 1024, 32
 CLASSES = MODEL_WORDS // CLASS_WORDS
-KNOWN = 1 << 19
+KNOWN, KNOWN_BYTES = 1 << 19, 128
 STEPS, LANES = 16, 512
 #: Training: most lanes, and the updates that a stream should give at least, by several passes if it is short.
 TRAIN_LANES, UPDATES = 256, 128
@@ -57,6 +58,8 @@ TRAIN_LANES, UPDATES = 256, 128
 SLICES = 4
 #: Tokens that a task trains on together; the last stretch has up to twice as many.
 STRETCH = 1 << 20
+#: Weights that one task averages.
+FAN_IN = 32
 #: Tokens that a task scores together.
 BATCH_TOKENS = 1 << 21
 END = b""
@@ -365,13 +368,12 @@ def score_documents(model: Model, rows: list[np.ndarray], kinds: list[np.ndarray
     return out
 
 
-#: The last vocabulary with its derived tables, built once in a Python worker.
-_loaded: dict[tuple, Vocabulary] = {}
+#: The last vocabulary with its derived tables, built once in a Python worker, by the key it was sent with.
+_loaded: dict[str, Vocabulary] = {}
 
 
 def _vocabulary(shared) -> Vocabulary:
-    words, counts, mass, total, distinct = shared.value
-    key = (total, distinct, len(words), hash(words[:4096]))
+    words, counts, mass, total, distinct, key = shared.value
     found = _loaded.get(key)
     if found is None:
         _loaded.clear()
@@ -383,17 +385,19 @@ def _vocabulary(shared) -> Vocabulary:
 
 
 def build_vocabulary(counts: DataFrame) -> tuple:
-    """What tasks get: words joined, (counts, lengths), masses of other classes, N, V."""
+    """What tasks get: words joined, (counts, lengths), masses of other classes, N, V, a key of its own.
+    At most ``KNOWN`` words of at most ``KNOWN_BYTES`` each."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     fine = F.floor(F.ln("n") * 64).cast("int")
-    bins = sorted(((r[0], r[1]) for r in counts.groupBy(fine.alias("b")).count().collect()), reverse=True)
+    short = counts.where(F.octet_length("word") <= KNOWN_BYTES)
+    bins = sorted(((r[0], r[1]) for r in short.groupBy(fine.alias("b")).count().collect()), reverse=True)
     room, least = KNOWN, None
     for b, n in bins:  # whole bins only, so the bound holds and no order among equals is needed
         room -= n
         if room < 0:
             break
         least = b
-    frequent = counts.where(fine >= least) if least is not None else counts.limit(0)
+    frequent = short.where(fine >= least) if least is not None else counts.limit(0)
     got = frequent.select("word", "n").toArrow()
     pairs = sorted(zip(got["word"].to_pylist(), got["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     words, n = [w for w, _ in pairs], np.array([c for _, c in pairs], np.int64)
@@ -404,7 +408,7 @@ def build_vocabulary(counts: DataFrame) -> tuple:
         mass[other_class(w)] -= c + 0.1
     mass = np.maximum(mass, 0.1)
     lengths = np.array([len(w) for w in words], np.int32)
-    return b"".join(words), (n.tobytes(), lengths.tobytes()), mass.tobytes(), int(total), int(distinct)
+    return b"".join(words), (n.tobytes(), lengths.tobytes()), mass.tobytes(), int(total), int(distinct), uuid.uuid4().hex
 
 
 def _trainer(shared, weights, rate: float):
@@ -436,7 +440,7 @@ def _trainer(shared, weights, rate: float):
             train(size)
         if n:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([float(n)]), pa.array([model.flat.tobytes()], pa.binary())],
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([float(n)]), pa.array([model.flat.tobytes()], pa.binary())],
                 names=["part", "n", "weights"],
             )
 
@@ -444,11 +448,26 @@ def _trainer(shared, weights, rate: float):
 
 
 def _mean(rows: pa.Table) -> pa.Table:
+    """Mean of at most ``FAN_IN`` weights, in the order of their parts."""
+    rows = rows.sort_by("part")
     weight = rows["n"].to_numpy()
-    order = np.lexsort((weight,))
-    total = sum(weight[i] * np.frombuffer(rows["weights"][int(i)].as_py(), np.float32).astype(np.float64) for i in order)
+    total = sum(n * np.frombuffer(w.as_py(), np.float32).astype(np.float64) for n, w in zip(weight, rows["weights"], strict=True))
     mean = (total / weight.sum()).astype(np.float32)
-    return pa.table({"part": rows["part"][:1], "n": pa.array([float(weight.sum())]), "weights": pa.array([mean.tobytes()], pa.binary())})
+    part = pa.array([rows["part"][0].as_py() // FAN_IN], pa.int32())
+    return pa.table({"part": part, "n": pa.array([float(weight.sum())]), "weights": pa.array([mean.tobytes()], pa.binary())})
+
+
+def tree_mean(trained: DataFrame) -> np.ndarray | None:
+    """``trained``: (part, n, weights) by task. Mean of the weights, none without rows."""
+    schema = "part int, n double, weights binary"
+    trained = persist_table(trained, "lm-weights")
+    last = trained.agg(F.max("part")).first()[0]
+    if last is None:
+        return None
+    while last >= FAN_IN:
+        trained = trained.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(_mean, schema)
+        last //= FAN_IN
+    return np.frombuffer(_mean(trained.toArrow())["weights"][0].as_py(), np.float32)
 
 
 def fit(docs: DataFrame, shared, v: Vocabulary, slices: int = SLICES) -> Model:
@@ -458,13 +477,9 @@ def fit(docs: DataFrame, shared, v: Vocabulary, slices: int = SLICES) -> Model:
     for k in range(slices):
         part = docs.where(F.pmod(F.xxhash64(F.lit(88), "doc_id"), F.lit(slices)) == k).select("text")
         weights = sc.broadcast(model.flat.tobytes())
-        schema = "part int, n double, weights binary"
-        means = part.mapInArrow(_trainer(shared, weights, 0.05 / (k + 1)), schema).groupBy("part").applyInArrow(_mean, schema).toArrow()
-        if means.num_rows:
-            n = np.array(means["n"].to_pylist())
-            flats = np.stack([np.frombuffer(w, np.float32) for w in means["weights"].to_pylist()])
-            order = np.argsort(means["part"].to_numpy())
-            model = Model((n[order] @ flats[order].astype(np.float64) / n.sum()).astype(np.float32))
+        mean = tree_mean(part.mapInArrow(_trainer(shared, weights, 0.05 / (k + 1)), "part int, n double, weights binary"))
+        if mean is not None:
+            model = Model(mean)
     return model
 
 

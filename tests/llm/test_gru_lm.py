@@ -166,3 +166,80 @@ def test_long_shares_are_trained_on_in_stretches(monkeypatch):
     (out,) = op._trainer(None, weights, 0.05)(iter(batches))
     assert sum(n for n, _ in seen) == 281 == out.column(1)[0].as_py() and sum(d for _, d in seen) == 71
     assert len(seen) > 3 and all(50 <= n < 104 for n, _ in seen)
+
+
+def plain_score(model, v, words, counts):
+    """log10 probability of a text by the definition: one token at a time, probabilities over the whole vocabulary."""
+    big = lambda x: x.astype(np.float64)
+    table, state, to_class, to_word = map(big, (model.table, model.state, model.to_class, model.to_word))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    k, h, fed, total = op.HIDDEN, np.zeros(op.HIDDEN), op.START, 0.0
+    own = {w: i for i, w in enumerate(v.words[: v.own])}
+    for w in words:
+        x, g = table[fed], h @ state
+        z, r = sigmoid(x[:k] + g[:k]), sigmoid(x[k : 2 * k] + g[k : 2 * k])
+        n = np.tanh(x[2 * k :] + r * g[2 * k :])
+        h = (1 - z) * n + z * h
+        classes = np.exp(h @ to_class + model.class_bias)
+        classes /= classes.sum()
+        if w in own:
+            at = own[w]
+            first = at // op.CLASS_WORDS * op.CLASS_WORDS
+            inside = np.exp(to_word[first : first + op.CLASS_WORDS] @ h + model.word_bias[first : first + op.CLASS_WORDS])
+            total += math.log10(classes[at // op.CLASS_WORDS] * inside[at - first] / inside.sum())
+            fed = at
+        else:
+            other = op.other_class(w)
+            total += math.log10(classes[op.CLASSES + other] * (counts.get(w, 0) + 0.1) / v.other_mass[other])
+            fed = op.MODEL_WORDS + other
+    return total
+
+
+def test_scores_against_a_plain_model(monkeypatch):
+    """``score`` of whole documents, words that are known, looked up by the join, or new."""
+    monkeypatch.setattr(op, "MODEL_WORDS", 64)  # so that there are others
+    monkeypatch.setattr(op, "CLASSES", 2)
+    monkeypatch.setattr(op, "ROWS_IN", 64 + op._OTHER + 1)
+    monkeypatch.setattr(op, "START", 64 + op._OTHER)
+    sizes = {"table": (op.ROWS_IN, 3 * op.HIDDEN), "to_class": (op.HIDDEN, 2 + op._OTHER), "class_bias": (2 + op._OTHER,), "to_word": (64, op.HIDDEN), "word_bias": (64,)}
+    monkeypatch.setattr(op, "SHAPES", [(n, sizes.get(n, shape)) for n, shape in op.SHAPES])
+    docs = chain(150) + [(i, f"rare{i % 50} word é{i % 9}, w3 new{i} end.") for i in range(150, 400)] + [(500, None), (501, "w1 " * 3000)]
+    counts = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 10 for w in tokens(t))
+    training = [(i, t) for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    known = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:70]
+    mass = np.full(op._OTHER, 0.1)
+    for w, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[64:]:
+        mass[op.other_class(w)] += c + 0.1
+    v = op.Vocabulary([w for w, _ in known], np.array([c for _, c in known]), mass, sum(counts.values()), len(counts))
+    model = op.Model.initial(v)
+    read = [v.read(tokens(t)) for _, t in training]
+    starts = np.concatenate([np.arange(len(r[1])) == 0 for r in read])
+    op.train_stream(model, np.concatenate([r[1] for r in read]), np.concatenate([r[2] for r in read]), starts, 0.05)
+    shared = type("B", (), {"value": None})()
+    monkeypatch.setattr(op, "_vocabulary", lambda shared: v)
+    monkeypatch.setattr(op.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    weights = type("W", (), {"value": model.flat.tobytes()})
+    batch = op.pa.RecordBatch.from_arrays([op.pa.array([i for i, _ in docs], op.pa.int64()), op.pa.array([t for _, t in docs], op.pa.string())], names=["doc_id", "text"])
+    got = {}
+    for b in op._scorer(shared, weights)(iter([batch])):
+        for r in b.to_pylist():
+            got[r["doc_id"]] = r["log_model"] + sum(f["times"] * math.log10(counts.get(f["word"], 0) + 0.1) for f in r["far"])
+    assert len(got) == len(docs)
+    for i, t in docs:
+        assert got[i] == pytest.approx(plain_score(model, v, tokens(t), counts), rel=1e-4), i
+
+
+def test_means_by_a_tree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    flats = rng.normal(0, 1, (70, 5)).astype(np.float32)
+    rows = [(i, float(1 + i % 4), f.tobytes()) for i, f in enumerate(flats) if i != 40]
+    df = spark.createDataFrame(rows, "part int, n double, weights binary")
+    want = np.average(np.delete(flats, 40, 0), axis=0, weights=[r[1] for r in rows])
+    assert np.allclose(op.tree_mean(df), want, atol=1e-6)
+    assert op.tree_mean(df.limit(0)) is None
+
+
+def test_a_word_of_any_length_is_counted(spark):
+    long = "x" * 100_000
+    docs = [(i, f"{long} a b" if i % 2 else "a b") for i in range(40)]
+    assert digest(run(spark, docs)) == brute(docs)
