@@ -1,17 +1,18 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 measures the table and scatters every record into one of ``shards * per_shard`` buckets:
-the shard by rendezvous hashing of (id, shard), the bucket within it by a seeded hash of id and
-content, both uniform. ``per_shard`` is the power of two that brings the mean bucket down to
-``bucket_bytes``. Pass 2 loads one bucket at a time, brings it into a canonical order and
-permutes it with a seeded Fisher-Yates shuffle, so a task that is run again writes the same.
+Pass 1 measures the table and scatters every record into one of the buckets of its shard: the shard by
+rendezvous hashing of (id, shard), the bucket within it by a seeded hash of id and content, both
+uniform. A shard has as many buckets, a power of two, as bring its mean bucket down to
+``bucket_bytes``, so a shard that holds most rows has most buckets. Rows equal in id and content
+that together fill a quarter of a bucket are dealt by their place in the input as well. Pass 2 loads one
+bucket at a time, brings it into a canonical order and permutes it with a seeded Fisher-Yates
+shuffle, so a task that is run again writes the same.
 
 Law ``key``: id and shard count alone decide the shard, and one shard more takes rows only into
 itself, as a row moves only if the new shard's hash is the highest.
 
-Defined results: a null text has no bytes; rows with a null id share one shard; rows that agree
-in id and content share a bucket; the input's columns travel as one struct ``record``, so their
-names clash with nothing. An empty table gives an empty result.
+Defined results: a null text has no bytes; rows with a null id share one shard; the input's columns
+travel as one struct ``record``, so their names clash with nothing. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..scratch import persist_table
 from ..session import ship_package
-from .common import table
+from .common import small_side, table
 
 SHARDS = 16
 
@@ -37,6 +39,13 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
     return F.array_max(score)["s"]
 
 
+def buckets_of(held: int, bucket_bytes: int) -> int:
+    n = 1
+    while n * bucket_bytes < held:
+        n *= 2
+    return n
+
+
 def _permuted(seed: int):
     def run(bucket: pa.Table) -> pa.Table:
         order = bucket.select(["id", "crc", "size"]).append_column("row", pa.array(np.arange(bucket.num_rows)))
@@ -67,15 +76,21 @@ def shuffle_shards(
         F.octet_length(text).cast("long").alias("own"),
         F.crc32(text.cast("binary")).alias("crc"),
         rendezvous(F.col(id_col), shards, seed).alias("shard"),
+        F.monotonically_increasing_id().alias("place"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"),
     ).withColumn("size", F.col("own") + 1)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    per_shard = 1
-    while per_shard * shards * bucket_bytes < total:
-        per_shard *= 2
-    rows = rows.withColumn(
-        "sub", F.pmod(F.xxhash64(F.lit(seed + 1), "id", "crc", "size"), F.lit(per_shard)).cast("int")
-    ).select("id", "crc", "size", "shard", "sub", "record")
+    held = {r[0]: r[1] for r in rows.groupBy("shard").agg(F.sum("size")).collect()}  # one row a shard
+    buckets = F.array(*[F.lit(buckets_of(held.get(s, 0), bucket_bytes)) for s in range(shards)])
+    same = rows.groupBy("id", "crc", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * F.col("size") * 4 >= bucket_bytes)
+    same = persist_table(same.select(F.col("id").alias("id_"), F.col("crc").alias("crc_"), F.col("size").alias("size_")), "shards-same")
+    n_same = same.count()
+    place = F.lit(0).cast("long")
+    if n_same:
+        equal = F.col("id").eqNullSafe(F.col("id_")) & (F.col("crc") == F.col("crc_")) & (F.col("size") == F.col("size_"))
+        rows = rows.join(small_side(same, n_same), equal, "left")
+        place = F.when(F.col("size_").isNotNull(), F.col("place")).otherwise(place)
+    sub = F.pmod(F.xxhash64(F.lit(seed + 1), "id", "crc", "size", place), F.element_at(buckets, F.col("shard") + 1))
+    rows = rows.withColumn("sub", sub.cast("int")).select("id", "crc", "size", "shard", "sub", "record")
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("shard", "sub")

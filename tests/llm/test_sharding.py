@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from stoneloom.llm import sharding as op
@@ -56,6 +57,39 @@ def test_edges(spark):
     assert len({r["shard"] for r in got if r["doc_id"] is None}) == 1
 
 
+def rendezvous(key, shards, seed):
+    """Spark's hash of (seed, id, shard), step by step: the result of a column seeds the next; null leaves the seed."""
+    best = None
+    for s in range(shards):
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little", signed=True), 42)
+        if key is not None:
+            h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), h)
+        h = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), h)
+        h -= (h >> 63) << 64
+        best = max(best, (h, s)) if best else (h, s)
+    return best[1]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    docs = [(i, f"text é {i % 40} " * (i % 9)) for i in range(500)] + [(-3, None), (2**40, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op.op2_sharding(spark, str(tmp_path)).collect()
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "key", rendezvous(i, 16, 17), rendezvous(i, 17, 17)) for i, t in docs]
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in got) == sorted(want)
+    for s in range(op.SHARDS):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_hot_null_ids_and_repeated_rows_fill_many_buckets(spark):
+    docs = [(None, f"n {i}") for i in range(2000)] + [(7, "same row")] * 2000 + [(i, "t") for i in range(2000)]
+    found = op.shuffle_shards(table(spark, docs), bucket_bytes=1000).select("shard", "sub", "slot", "record.doc_id", "record.text").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=repr) == sorted(docs, key=repr)
+    sizes = Counter((r["shard"], r["sub"]) for r in found)
+    assert max(sizes.values()) < 400 and len({r["sub"] for r in found if r["doc_id"] == 7}) > 8
+    for s in range(op.SHARDS):
+        assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "doc_id long, text string")
     op.write_shards(op.shuffle_shards(docs, shards=4), str(tmp_path / "s"))
