@@ -1,7 +1,8 @@
 """Exact top-k search by tiled matrix products.
 
 Candidates are dealt into shards of about ``shard_rows`` vectors and queries into blocks of
-about ``block_rows`` by hashes of their ids. A tile is one shard with one block; each side is
+about ``block_rows`` by hashes of their ids, candidates by their place in the input too, as a row may
+be repeated very often. A tile is one shard with one block; each side is
 repeated once for every tile it belongs to, so a task holds one shard and one block at most,
 and the traffic per product falls with the tile's edge. A tile is one matrix product and a
 partial selection that keeps ``k`` rows of a query. The lists of a query are merged by a tree of
@@ -107,13 +108,13 @@ def top_k(
     n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
 
-    def part(seed: int, n: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(n))
+    def part(seed: int, n: int, *more: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v", *more), F.lit(n))
 
     def every(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
-    candidates = rows.select("vec_id", "v", part(1, shards).alias("shard"), every(blocks).alias("block"))
+    candidates = rows.select("vec_id", "v", part(1, shards, F.monotonically_increasing_id()).alias("shard"), every(blocks).alias("block"))
     queries = rows.where("q").select("vec_id", "v").dropDuplicates()
     queries = queries.select(
         F.col("vec_id").alias("query_id"), F.col("v").alias("q_v"), part(2, blocks).alias("q_block"), every(shards).alias("q_shard")
