@@ -13,7 +13,7 @@ whose state is two digests and a few counts.
 
 Defined results: a null text or role is empty; turns are ordered by turn (nulls first), then
 role, then text; rows that agree in all count as turns each; a null conv_id is a conversation of
-its own; records of unknown layout keep one row with null role and text from ``convert_json``
+its own; turns of a conversation -1 in the table are of one conversation with the two that the query adds; records of unknown layout keep one row with null role and text from ``convert_json``
 (so that nothing is lost silently) and raise in ``convert_table``. Empty tables give empty results.
 """
 
