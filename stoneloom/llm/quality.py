@@ -12,9 +12,12 @@
    label in expectation, drawn by a hash of the id; features have ``DIMENSIONS`` numbers each, so
    what comes to the driver is bounded. Every document is then scored whole.
 
-Defined results: a text of fewer than ``LEAST_WORDS`` words, as a null or blank one, gives no
-evidence and scores the share of junk, which is held below 0.5, so it stays; a document is kept unless its score reaches ``threshold``; equal texts score the
-same; other columns play no part. An empty table gives an empty result.
+The fewer words a text has the less its features say: the scorer's log odds count n of n + ``EVIDENCE``
+parts, those of ``BLANK`` the rest. So every text is scored, and a few words need strong evidence against them.
+
+Defined results: a null or blank text scores ``BLANK``, so it stays; a
+document is kept unless its score reaches ``threshold``; equal texts score the same; other columns play no
+part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,14 +43,16 @@ SAMPLE = 2048
 THRESHOLD = 0.5
 #: Codes of words that a Python worker remembers.
 CODES = 1 << 17
-#: Votes need so many words.
-LEAST_WORDS = 8
-#: The share of fine texts that a labeller may call junk is held to this. Without it, kinds of junk that
-#: different labellers know would not be taken for one class.
-FALSE_ALARMS = 0.02
+#: The score of a text of which nothing is known, and the words that weigh as much as this.
+BLANK, EVIDENCE = 0.1, 8
+#: What is believed of labellers before the votes are seen: the share of fine texts that one calls junk, and the
+#: weight of that belief, in times of the fine texts that voted. Without it, kinds of junk that different labellers
+#: know would not be taken for one class.
+FALSE_ALARMS, BELIEF = 0.001, 8
 NONE, FINE, JUNK = 0, 1, 2
 
-# Facts of a word above the bits of its hashed shape.
+# Facts of a word above the bits of its hashed shape; above them the number of its characters that are neither letters nor digits.
+OTHERS = 20
 SYMBOLS, BARE, CAPITALS, SHOUT, SHORT, ENDS, LETTERS = (1 << (10 + i) for i in range(7))
 _SYMBOL = re.compile(r"[#$%&*~^=+<>@|\\_]{2}|[#$%*~^|]")
 _RUN = re.compile(r"(.)\1+")
@@ -56,7 +61,7 @@ _RUN = re.compile(r"(.)\1+")
 def word_shape(word: str) -> str:
     """Letters by case, digits and other characters as they are, runs of one kind to one sign."""
     signs = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
-    return _RUN.sub(r"\1", signs)[:12]
+    return _RUN.sub(r"\1", signs)
 
 
 def _plain(word: str) -> tuple[str, str] | None:
@@ -82,9 +87,8 @@ class _Codes(dict):
         plain = _plain(word)
         if plain:  # what follows gives the same, only slower
             shape, tail = plain
-            n = len(word) - len(tail)
-            code = _shape_code(shape + tail) | LETTERS | min(len(word), 255) << 20 | len(tail) << 28
-            code |= SHORT if n <= 3 else 0
+            code = _shape_code(shape + tail) | LETTERS | len(tail) << OTHERS
+            code |= SHORT if len(word) - len(tail) <= 3 else 0
             code |= ENDS if tail == "." else 0
         else:
             code = self.slow(word)
@@ -108,7 +112,7 @@ class _Codes(dict):
             code |= BARE
         if word.endswith("!!"):
             code |= SHOUT
-        code |= min(len(word), 255) << 20 | min(sum(not c.isalnum() for c in word), 255) << 28
+        code |= sum(not c.isalnum() for c in word) << OTHERS
         if word[-1] in ".!?:。！？…":
             code |= ENDS
         return code
@@ -126,7 +130,7 @@ def read_words(text: str | None) -> tuple[list[str], np.ndarray]:
 
 def votes(words: list[str], codes: np.ndarray) -> list[int]:
     n = len(words)
-    if n < LEAST_WORDS:
+    if not n:
         return [NONE] * len(LABELLERS)
     share = lambda bit: np.count_nonzero(codes & bit) / n
     with_letters = max(1, np.count_nonzero(codes & LETTERS))
@@ -136,29 +140,30 @@ def votes(words: list[str], codes: np.ndarray) -> list[int]:
         "capitals": np.count_nonzero(codes & CAPITALS) / with_letters,
         "shout": share(SHOUT),
         "again": sum(map(operator.eq, words, words[1:])) / n,
-        "variety": len(set(words)) / n if n >= 50 else None,
-        "short": np.count_nonzero(codes & SHORT) / with_letters if n >= 30 else None,
-        "ends": share(ENDS) if n >= 60 else None,
-        "letters": 1 - int((codes >> 28).sum()) / max(1, int((codes >> 20 & 255).sum())),
+        "variety": len(set(words)) / n,
+        "short": np.count_nonzero(codes & SHORT) / with_letters,
+        "ends": share(ENDS),
+        "letters": 1 - int((codes >> OTHERS).sum()) / sum(map(len, words)),
     }
     out = []
-    for name, junk, fine, sign in LABELLERS:
+    for name, junk, fine, sign, least in LABELLERS:
         x = facts[name]
-        out.append(NONE if x is None else JUNK if sign * (x - junk) > 0 else FINE if sign * (x - fine) < 0 else NONE)
+        out.append(NONE if n < least else JUNK if sign * (x - junk) > 0 else FINE if sign * (x - fine) < 0 else NONE)
     return out
 
 
-#: Fact, the value beyond which it means junk, the value up to which it means fine, and the direction.
+#: Fact, the value beyond which it means junk, the value up to which it means fine, the direction, and the
+#: words that a text must have for the share to mean something; labellers say nothing of shorter ones.
 LABELLERS = [
-    ("symbols", 0.25, 0.03, 1),
-    ("bare", 0.2, 0.03, 1),
-    ("capitals", 0.5, 0.1, 1),
-    ("shout", 0.2, 0.01, 1),
-    ("again", 0.2, 0.03, 1),
-    ("variety", 0.1, 0.2, -1),
-    ("short", 0.08, 0.15, -1),
-    ("ends", 0.01, 0.03, -1),
-    ("letters", 0.75, 0.85, -1),
+    ("symbols", 0.25, 0.03, 1, 8),
+    ("bare", 0.2, 0.03, 1, 8),
+    ("capitals", 0.5, 0.1, 1, 8),
+    ("shout", 0.2, 0.01, 1, 8),
+    ("again", 0.2, 0.03, 1, 8),
+    ("variety", 0.1, 0.2, -1, 50),
+    ("short", 0.08, 0.15, -1, 30),
+    ("ends", 0.01, 0.03, -1, 60),
+    ("letters", 0.75, 0.85, -1, 8),
 ]
 
 
@@ -205,7 +210,8 @@ class LabelModel:
 
     @classmethod
     def fit(cls, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-        """Starts from "junk if any labeller says so"; one pseudo-count a cell keeps tables proper."""
+        """Starts from "junk if any labeller says so". One pseudo-count a cell keeps tables proper; on fine texts
+        they are as many as ``BELIEF`` says."""
         patterns, counts = np.asarray(patterns, np.int64), np.asarray(counts, float)
         v = cls.unpack(patterns)
         p = np.where((v == JUNK).any(axis=1), 0.9, 0.02)
@@ -216,11 +222,11 @@ class LabelModel:
             out.junk_share = float(min(max((weight[1].sum() + 1) / (counts.sum() + 10), 1e-6), 0.49))
             out.tables = np.ones((v.shape[1], 2, 3))
             for y in (0, 1):
-                said = np.stack([(weight[y][:, None] * (v == vote)).sum(axis=0) for vote in (FINE, JUNK)], axis=1) + 1
+                said = np.stack([(weight[y][:, None] * (v == vote)).sum(axis=0) for vote in (FINE, JUNK)], axis=1)
+                # each labeller knows one kind of junk: its alarms are rarely false, its silence means little
+                believed = BELIEF * said.sum(axis=1, keepdims=True) * [1 - FALSE_ALARMS, FALSE_ALARMS] if y == 0 else 0
+                said = said + 1 + believed
                 out.tables[:, y, FINE:] = said / said.sum(axis=1, keepdims=True)
-            # each labeller knows one kind of junk: its alarms are rarely false, its silence means little
-            out.tables[:, 0, JUNK] = np.minimum(np.minimum(out.tables[:, 0, JUNK], FALSE_ALARMS), out.tables[:, 1, JUNK])
-            out.tables[:, 0, FINE] = 1 - out.tables[:, 0, JUNK]
             p = out.posterior(patterns)
             now = float((counts * p).sum())
             if abs(now - before) < 1e-6 * max(1.0, counts.sum()):
@@ -237,9 +243,9 @@ class Classifier:
     intercept: float
 
     def score(self, codes: np.ndarray) -> float:
-        if len(codes) < LEAST_WORDS:
-            return self.labels.junk_share
-        return float(1 / (1 + np.exp(-np.clip(features(codes) @ self.weights + self.intercept, -50, 50))))
+        n = len(codes)
+        odds = n * (features(codes) @ self.weights + self.intercept) + EVIDENCE * np.log(BLANK / (1 - BLANK))
+        return float(1 / (1 + np.exp(-np.clip(odds / (n + EVIDENCE), -50, 50))))
 
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
