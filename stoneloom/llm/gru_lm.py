@@ -5,6 +5,9 @@ the table of counts is written to the shared folder. Tokens above a count that a
 ``KNOWN`` tokens reach go to every task with their counts; the others are looked up by a join,
 once for each document, so vocabulary never has to fit anywhere and every count is exact.
 
+*Reading.* Every document is read once more with the vocabulary; the table of its tokens' input rows and
+output classes, three bytes a token, is what training and scoring go through.
+
 *Model.* The ``MODEL_WORDS`` most frequent tokens form classes of ``CLASS_WORDS``; all other
 words fall into classes by their letters, ending and length. The output is factored: a softmax
 over classes, then a softmax over the words of the class, or, in classes of other words, their
@@ -60,8 +63,8 @@ SLICES = 4
 STRETCH = 1 << 20
 #: Weights that one task averages.
 FAN_IN = 32
-#: Tokens that a task scores together.
-BATCH_TOKENS = 1 << 21
+#: Tokens that a task scores together, and that it reads into one batch.
+BATCH_TOKENS, READ_TOKENS = 1 << 21, 1 << 18
 END = b""
 
 _OTHER = 40
@@ -411,9 +414,64 @@ def build_vocabulary(counts: DataFrame) -> tuple:
     return b"".join(words), (n.tobytes(), lengths.tobytes()), mass.tobytes(), int(total), int(distinct), uuid.uuid4().hex
 
 
-def _trainer(shared, weights, rate: float):
+READ = (
+    "row_id long, doc_id long, n_tokens long, n_known long, log_counts double, log_shares double,"
+    " far array<struct<word: binary, times: int>>, row binary, kind binary"
+)
+
+
+def _reader(shared):
+    """Documents as the model sees them: input rows and output classes of their tokens, two bytes and
+    one each; what the counts of known words give; and the words to look up."""
+    kinds_of = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+    names = ["row_id", "doc_id", "n_tokens", "n_known", "log_counts", "log_shares", "far", "row", "kind"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
+        log_mass = np.log10(v.other_mass)
+        number = itertools.count(TaskContext.get().partitionId() << 33)
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True)) if held else [()] * 8
+            far = columns[5]
+            words = pa.array([w for f in far for w in f], pa.binary())
+            times = pa.array([n for f in far for n in f.values()], pa.int32())
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in far])]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([words, times], fields=list(kinds_of.value_type)))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), None, pa.binary(), pa.binary()]
+            arrays = [lists if k is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            ids = pa.array([next(number) for _ in held], pa.int64())
+            held.clear()
+            return pa.RecordBatch.from_arrays([ids, *arrays], names=names)
+
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = tokens(text.as_py())
+                at, row, kind = v.read(words)
+                known = at[at >= 0]
+                far = Counter(words[i] for i in np.flatnonzero(at < 0))
+                other = kind >= CLASSES
+                # log10 of (c + 0.1) of known words outside the model's own; unknown ones come by the join
+                shares = float(v.log_count[known[known >= v.own]].sum()) - float(log_mass[kind[other] - CLASSES].sum())
+                packed = row.astype("<u2").tobytes(), kind.astype(np.uint8).tobytes()
+                held.append((doc, len(words), len(known), float(v.log_count[known].sum()), shares, far, *packed))
+                size += len(words)
+                if size >= READ_TOKENS:
+                    yield out()
+                    size = 0
+        yield out()
+
+    return run
+
+
+def unpacked(row: pa.Scalar, kind: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row.as_buffer(), "<u2").astype(np.int32), np.frombuffer(kind.as_buffer(), np.uint8).astype(np.int32)
+
+
+def _trainer(weights, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(np.frombuffer(weights.value, np.float32).copy())
         held: list[tuple[np.ndarray, ...]] = []
         n = size = 0
@@ -427,8 +485,8 @@ def _trainer(shared, weights, rate: float):
             return int(ends[min(k, len(ends)) - 1])
 
         for b in batches:
-            for t in b.column(0):
-                _, row, kind = v.read(tokens(t.as_py()))
+            for packed in zip(b.column(0), b.column(1), strict=True):
+                row, kind = unpacked(*packed)
                 first = np.zeros(len(row), bool)
                 first[0] = True
                 held.append((row, kind, first))
@@ -470,71 +528,51 @@ def tree_mean(trained: DataFrame) -> np.ndarray | None:
     return np.frombuffer(_mean(trained.toArrow())["weights"][0].as_py(), np.float32)
 
 
-def fit(docs: DataFrame, shared, v: Vocabulary, slices: int = SLICES) -> Model:
-    """``docs``: (doc_id, text) of training documents. Every one is trained on in one of the rounds."""
-    sc = docs.sparkSession.sparkContext
+def fit(read: DataFrame, v: Vocabulary, slices: int = SLICES) -> Model:
+    """``read``: (doc_id, row, kind) of training documents. Every one is trained on in one of the rounds."""
+    sc = read.sparkSession.sparkContext
     model = Model.initial(v)
     for k in range(slices):
-        part = docs.where(F.pmod(F.xxhash64(F.lit(88), "doc_id"), F.lit(slices)) == k).select("text")
+        part = read.where(F.pmod(F.xxhash64(F.lit(88), "doc_id"), F.lit(slices)) == k).select("row", "kind")
         weights = sc.broadcast(model.flat.tobytes())
-        mean = tree_mean(part.mapInArrow(_trainer(shared, weights, 0.05 / (k + 1)), "part int, n double, weights binary"))
+        mean = tree_mean(part.mapInArrow(_trainer(weights, 0.05 / (k + 1)), "part int, n double, weights binary"))
         if mean is not None:
             model = Model(mean)
     return model
 
 
-SCORED = (
-    "row_id long, doc_id long, n_tokens long, n_known long, log_counts double, log_model double, far array<struct<word: binary, times: int>>"
-)
+PASSED = "row_id long, doc_id long, n_tokens long, n_known long, log_counts double, log_shares double"
 
 
-def _scorer(shared, weights):
-    kinds_of = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+def _scorer(weights):
+    """The columns ``PASSED``, and the log10 probability of classes and own words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _vocabulary(shared)
         model = Model(np.frombuffer(weights.value, np.float32))
-        log_mass = np.log10(v.other_mass)
-        number = itertools.count(TaskContext.get().partitionId() << 33)
-        held: list[tuple] = []
+        passed: list[pa.RecordBatch] = []
+        read: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def out() -> pa.RecordBatch:
-            rows, kinds = [h[5] for h in held], [h[6] for h in held]
-            logs = score_documents(model, rows, kinds) / math.log(10) if held else []
-            far: list = [h[4] for h in held]
-            words = pa.array([w for f in far for w in f], pa.binary())
-            times = pa.array([n for f in far for n in f.values()], pa.int32())
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in far])]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([words, times], fields=list(kinds_of.value_type)))
-            model_log = [x + h[7] for x, h in zip(logs, held, strict=True)]
-            columns = [
-                pa.array([next(number) for _ in held], pa.int64()),
-                pa.array([h[0] for h in held], pa.int64()),
-                pa.array([h[1] for h in held], pa.int64()),
-                pa.array([h[2] for h in held], pa.int64()),
-                pa.array([h[3] for h in held], pa.float64()),
-                pa.array(model_log, pa.float64()),
-                lists,
-            ]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "n_tokens", "n_known", "log_counts", "log_model", "far"])
+        def out() -> Iterator[pa.RecordBatch]:
+            logs = score_documents(model, *map(list, zip(*read, strict=True))) / math.log(10)
+            for b in passed:
+                own, logs = logs[: b.num_rows], logs[b.num_rows :]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.float64())], names=[*b.schema.names, "log_model"])
+            passed.clear()
+            read.clear()
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = tokens(text.as_py())
-                at, row, kind = v.read(words)
-                known = at[at >= 0]
-                far = Counter(words[i] for i in np.flatnonzero(at < 0))
-                other = kind >= CLASSES
-                # log10 of (c + 0.1) of known words outside the model's own; unknown ones come by the join
-                own = float(v.log_count[known[known >= v.own]].sum()) - float(log_mass[kind[other] - CLASSES].sum())
-                held.append((doc, len(words), len(known), float(v.log_count[known].sum()), far, row, kind, own))
-                size += len(words)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                passed.append(part.select(part.schema.names[:-2]))
+                for packed in zip(part.column(part.num_columns - 2), part.column(part.num_columns - 1), strict=True):
+                    read.append(unpacked(*packed))
+                    size += len(read[-1][0])
                 if size >= BATCH_TOKENS:
-                    yield out()
+                    yield from out()
                     size = 0
-        yield out()
+        if read:
+            yield from out()
 
     return run
 
@@ -544,16 +582,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    training = rows.where(remainder(F.col("doc_id")) != 0)
-    counts = training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = rows.where(remainder(F.col("doc_id")) != 0).select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = persist_table(counts, "lm-counts")
     packed = build_vocabulary(counts)
     shared = spark.sparkContext.broadcast(packed)
     v = _vocabulary(shared)
-    model = fit(training, shared, v)
+    read = persist_table(rows.mapInArrow(_reader(shared), READ), "lm-read")
+    model = fit(read.where(remainder(F.col("doc_id")) != 0), v)
     weights = spark.sparkContext.broadcast(model.flat.tobytes())
-    scored = persist_table(rows.mapInArrow(_scorer(shared, weights), SCORED), "lm-scored")
-    far = scored.select("row_id", F.inline("far"))
+    names = [c.split()[0] for c in PASSED.split(", ")]
+    scored = read.select(*names, "row", "kind").mapInArrow(_scorer(weights), f"{PASSED}, log_model double")
+    far = read.select("row_id", F.inline("far"))
     found = far.join(counts, "word", "left").select(
         "row_id",
         (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("logs"),
@@ -563,8 +602,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     norm = math.log10(v.total + 0.1 * (v.distinct + 1))
     logs = F.coalesce("far_logs", F.lit(0.0))
     return (
-        scored.drop("far")
-        .join(found, "row_id", "left")
+        scored.join(found, "row_id", "left")
         .select(
             F.col("doc_id").alias(id_col),
             (remainder(F.col("doc_id")) == 0).alias("held_out"),
@@ -572,7 +610,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             (F.col("n_known") + F.coalesce("far_seen", F.lit(0))).alias("n_known"),
             F.lit(v.total).cast("long").alias("train_tokens"),
             (F.col("log_counts") + logs - F.col("n_tokens") * norm).alias("base_score"),
-            (F.col("log_model") + logs).alias("score"),
+            (F.col("log_model") + F.col("log_shares") + logs).alias("score"),
         )
     )
 

@@ -157,13 +157,14 @@ def test_long_shares_are_trained_on_in_stretches(monkeypatch):
     v = small_vocabulary()
     seen = []
     monkeypatch.setattr(op, "STRETCH", 50)
-    monkeypatch.setattr(op, "_vocabulary", lambda shared: v)
     monkeypatch.setattr(op, "train_stream", lambda model, row, kind, starts, rate: seen.append((len(row), int(starts.sum()))))
     monkeypatch.setattr(op.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
     weights = type("W", (), {"value": op.Model.empty().flat.tobytes()})
     texts = ["a b c"] * 70 + [None]
-    batches = [op.pa.RecordBatch.from_arrays([op.pa.array(texts, op.pa.string())], names=["text"])]
-    (out,) = op._trainer(None, weights, 0.05)(iter(batches))
+    read = [v.read(tokens(t))[1:] for t in texts]
+    packed = [op.pa.array([x[k].astype(kind).tobytes() for x in read], op.pa.binary()) for k, kind in ((0, "<u2"), (1, np.uint8))]
+    batches = [op.pa.RecordBatch.from_arrays(packed, names=["row", "kind"])]
+    (out,) = op._trainer(weights, 0.05)(iter(batches))
     assert sum(n for n, _ in seen) == 281 == out.column(1)[0].as_py() and sum(d for _, d in seen) == 71
     assert len(seen) > 3 and all(50 <= n < 104 for n, _ in seen)
 
@@ -215,15 +216,18 @@ def test_scores_against_a_plain_model(monkeypatch):
     read = [v.read(tokens(t)) for _, t in training]
     starts = np.concatenate([np.arange(len(r[1])) == 0 for r in read])
     op.train_stream(model, np.concatenate([r[1] for r in read]), np.concatenate([r[2] for r in read]), starts, 0.05)
-    shared = type("B", (), {"value": None})()
     monkeypatch.setattr(op, "_vocabulary", lambda shared: v)
     monkeypatch.setattr(op.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
     weights = type("W", (), {"value": model.flat.tobytes()})
     batch = op.pa.RecordBatch.from_arrays([op.pa.array([i for i, _ in docs], op.pa.int64()), op.pa.array([t for _, t in docs], op.pa.string())], names=["doc_id", "text"])
-    got = {}
-    for b in op._scorer(shared, weights)(iter([batch])):
+    got, far = {}, {}
+    read = op.pa.Table.from_batches(op._reader(None)(iter([batch])))
+    for r in read.to_pylist():
+        far[r["row_id"]] = sum(f["times"] * math.log10(counts.get(f["word"], 0) + 0.1) for f in r["far"])
+    names = [c.split()[0] for c in op.PASSED.split(", ")]
+    for b in op._scorer(weights)(iter(read.select([*names, "row", "kind"]).to_batches(max_chunksize=100))):
         for r in b.to_pylist():
-            got[r["doc_id"]] = r["log_model"] + sum(f["times"] * math.log10(counts.get(f["word"], 0) + 0.1) for f in r["far"])
+            got[r["doc_id"]] = r["log_model"] + r["log_shares"] + far[r["row_id"]]
     assert len(got) == len(docs)
     for i, t in docs:
         assert got[i] == pytest.approx(plain_score(model, v, tokens(t), counts), rel=1e-4), i
