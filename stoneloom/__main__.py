@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import sources as src
 from .operators import cluster, cooccurrence, corpus, counting, graph, index
+from .operators.metrics import counted
 from .scratch import release_scratch
 from .session import session
 
@@ -44,7 +45,7 @@ def cooccur(spark: SparkSession, form: str, path: str, out: str) -> None:
 
 
 def inverted(spark: SparkSession, path: str, out: str, partitions: str = "37") -> None:
-    found = index.inverted_index(index.term_frequencies(src.read_documents(spark, path)))
+    found = index.index_documents(src.read_documents(spark, path))
     src.write_table(found.repartition(int(partitions), "term").sortWithinPartitions("term", "block"), out)
 
 
@@ -124,7 +125,10 @@ def cities(spark: SparkSession, path: str, out: str, one_file: str = "") -> None
 
 
 def dump(spark: SparkSession, path: str, out: str, language: str) -> None:
-    src.write_table(src.read_pages(spark, path, language), out)
+    kinds = {k: F.col(f"is_{k}") for k in ("article", "redirect", "disambiguation", "stub", "empty")}
+    pages, seen = counted(src.read_pages(spark, path, language), "pages", **kinds)
+    src.write_table(pages, out)
+    print(" ".join(f"{k}={n}" for k, n in seen.get.items()), file=sys.stderr)
 
 
 PROGRAMS = {

@@ -31,3 +31,8 @@ def first_difference(a: Column, b: Column, eps: float) -> Column:
 
 def close(a: Column, b: Column, eps: float) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lambda d: d <= eps)
+
+
+def order(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as ``a`` comes before, with or after ``b``: by the first coordinates that differ, then the shorter first."""
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)

@@ -80,7 +80,7 @@ def index_doc_freq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_postings_text(spark: SparkSession, d: str) -> DataFrame:
-    found = index.inverted_index(inv_index(spark, d))
+    found = index.index_documents(read_table(spark, d, "documents"))
     text = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), " ")
     return found.select("term", "block", "df", text.alias("postings"))
 

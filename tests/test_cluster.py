@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stoneloom.functions.vectors import add, close, distance, divide, first_difference
+from stoneloom.functions.vectors import add, close, distance, divide, first_difference, order
 from stoneloom.operators import cluster
 from stoneloom.sources import parse_points
 
@@ -69,3 +69,9 @@ def test_vectors(spark):
 def test_points_of_words(spark):
     lines = spark.createDataFrame([("1.5 red 2 NaNa -3e1",), ("",)], "value string")
     assert [tuple(r) for r in parse_points(lines).collect()] == [([1.5, 2.0, -30.0], ["red", "NaNa"]), ([], [])]
+
+
+def test_order_of_points(spark):
+    pairs = [([1.0, 2.0], [1.0, 3.0], -1), ([2.0], [1.0, 9.0], 1), ([1.0], [1.0, 0.0], -1), ([1.0, 2.0], [1.0, 2.0], 0)]
+    df = spark.createDataFrame(pairs, "a array<double>, b array<double>, want int")
+    assert all(r["got"] == r["want"] for r in df.select(order(F.col("a"), F.col("b")).alias("got"), "want").collect())

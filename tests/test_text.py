@@ -10,7 +10,7 @@ from stoneloom import scratch
 from stoneloom.functions.tokens import STOPWORDS, tokenize
 from stoneloom.joins import attach
 from stoneloom.operators import cooccurrence, counting, index
-from stoneloom.sources import parse_log
+from stoneloom.sources import parse_log, write_nothing
 
 LINE = "Hello, hello world! it's  a--b -"
 
@@ -111,6 +111,20 @@ def test_scratch(spark, tmp_path, monkeypatch):
         scratch.shared_dir(cluster)
 
 
+def test_index_with_one_exchange(spark, rows):
+    docs = spark.createDataFrame([(i, f"term{i % 5} common other{i} common") for i in range(-3, 60)] + [(7, None)], "doc_id long, text string")
+    one = index.index_documents(docs, block_docs=16)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert rows(one) == rows(index.inverted_index(index.term_frequencies(docs), block_docs=16))
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_null_sink(spark):
+    seen = spark.sparkContext.accumulator(0)
+    write_nothing(spark.range(5).mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), "id long"))
+    assert seen.value == 5
+
+
 def test_window_is_symmetric_and_a_star_is_a_word(spark, rows):
     lines = spark.createDataFrame([("* x * y",), ("p q r s t",)], "value string")
     counted = {(w, u): n for w, u, n in rows(cooccurrence.pairs(lines, window=3))}
