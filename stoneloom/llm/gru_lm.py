@@ -55,6 +55,8 @@ MODEL_WORDS, CLASS_WORDS = 1024, 32
 CLASSES = MODEL_WORDS // CLASS_WORDS
 KNOWN, KNOWN_BYTES = 1 << 19, 128
 STEPS, LANES = 16, 512
+#: States whose class probabilities are held at once.
+BLOCK = 1024
 #: Training: most lanes, and the updates that a stream should give at least, by several passes if it is short.
 TRAIN_LANES, UPDATES = 256, 128
 #: Parts of the training documents, one for each round.
@@ -64,7 +66,7 @@ STRETCH = 1 << 20
 #: Weights that one task averages.
 FAN_IN = 32
 #: Tokens that a task scores together, and that it reads into one batch.
-BATCH_TOKENS, READ_TOKENS = 1 << 21, 1 << 18
+BATCH_TOKENS, READ_TOKENS = 1 << 21, 1 << 16
 END = b""
 
 _OTHER = 40
@@ -85,9 +87,39 @@ def other_class(word: bytes) -> int:
     return (letters * 4 + ending) * 2 + (len(word) > 8)
 
 
-def tokens(text: str | None) -> list[bytes]:
+#: By last byte: 1 and 2 for stop and comma, 0 for letters, digits and bytes beyond ASCII, else 3.
+_ENDING = np.array([1 if i == 46 else 2 if i == 44 else 0 if i >= 128 or chr(i).isalnum() else 3 for i in range(256)], np.uint8)
+_AFTER_C3 = np.zeros(256, np.uint8)
+_AFTER_C3[list(b"\xa4\xb6\xbc\x9f")] = 1
+_AFTER_C3[list(b"\xb1\xb3\xad\xa1\xba")] = 2
+
+
+def other_classes(words: list[bytes]) -> np.ndarray:
+    """``other_class`` of every word."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths)
+    ending = np.full(len(words), 3, np.uint8)
+    some = lengths > 0
+    ending[some] = _ENDING[data[ends[some] - 1]]
+    letters = np.zeros(len(words), np.uint8)
+    beyond = np.flatnonzero(data >= 0x80)
+    of = np.searchsorted(ends, beyond, side="right")
+    letters[of] = 4
+    lead = data[beyond] == 0xC3
+    of, after = of[lead], beyond[lead] + 1
+    letters[of] = 3
+    inside = after < ends[of]
+    sort = np.zeros(len(of), np.uint8)
+    sort[inside] = _AFTER_C3[data[after[inside]]]
+    for mark in (2, 1):  # an umlaut decides
+        letters[of[sort == mark]] = mark
+    return (letters * 4 + ending) * 2 + (lengths > 8)
+
+
+def tokens(text: pa.Buffer | None) -> list[bytes]:
     """Words, then the end. On bytes, lower() and split() know A-Z and the contract's white space only."""
-    words = (text or "").encode().lower().split()
+    words = text.to_pybytes().lower().split() if text is not None else []
     words.append(END)
     return words
 
@@ -106,7 +138,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for t in b.column(0):
-            seen.update(tokens(t.as_py()))
+            seen.update(tokens(t.as_buffer()))
             if len(seen) > 1 << 19:
                 yield out()
     yield out()
@@ -116,7 +148,7 @@ def _other_masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         mass = np.zeros(_OTHER)
         if b.num_rows:
-            kinds = [other_class(w) for w in b.column(0).to_pylist()]
+            kinds = other_classes(b.column(0).to_pylist())
             mass += np.bincount(kinds, b.column(1).to_numpy() + 0.1, _OTHER)
         yield pa.RecordBatch.from_arrays([pa.array(range(_OTHER), pa.int32()), pa.array(mass)], names=["kind", "mass"])
 
@@ -136,26 +168,37 @@ class Vocabulary:
     @functools.cached_property
     def kind(self) -> np.ndarray:
         """Output class by word: the model's own first, then the classes of other words."""
-        rest = [CLASSES + other_class(w) for w in self.words[self.own :]]
-        return np.concatenate([np.arange(self.own) // CLASS_WORDS, np.array(rest, np.int64)]).astype(np.int32)
+        return np.concatenate([np.arange(self.own) // CLASS_WORDS, CLASSES + other_classes(self.words[self.own :])]).astype(np.uint8)
 
     @functools.cached_property
     def row(self) -> np.ndarray:
         """Input row by word."""
-        return np.where(np.arange(len(self.words)) < self.own, np.arange(len(self.words)), MODEL_WORDS + self.kind - CLASSES).astype(np.int32)
+        at = np.arange(len(self.words))
+        return np.where(at < self.own, at, MODEL_WORDS - CLASSES + self.kind.astype(np.int64)).astype(np.uint16)
 
     @functools.cached_property
     def log_count(self) -> np.ndarray:
         return np.log10(self.counts + 0.1)
 
+    @functools.cached_property
+    def log_mass(self) -> np.ndarray:
+        return np.log10(self.other_mass)
+
+    @functools.cached_property
+    def log_share(self) -> np.ndarray:
+        """Of its class, by word; nothing for the model's own."""
+        out = np.zeros(len(self.words))
+        out[self.own :] = self.log_count[self.own :] - self.log_mass[self.kind[self.own :] - CLASSES]
+        return out
+
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index (-1: not known), input row and output class of every word."""
         at = np.fromiter(map(self.index.get, words, itertools.repeat(-1)), np.int32, len(words))
         far = np.flatnonzero(at < 0)
-        row, kind = (self.row[at], self.kind[at]) if len(self.words) else (np.zeros(len(words), np.int32), np.zeros(len(words), np.int32))
+        row, kind = (self.row[at], self.kind[at]) if len(self.words) else (np.zeros(len(words), np.uint16), np.zeros(len(words), np.uint8))
         if len(far):
-            own = np.array([other_class(words[i]) for i in far], np.int32)
-            row[far] = MODEL_WORDS + own
+            own = other_classes([words[i] for i in far.tolist()])
+            row[far] = MODEL_WORDS + own.astype(np.uint16)
             kind[far] = CLASSES + own
         return at, row, kind
 
@@ -206,64 +249,110 @@ class Model:
     def tame(self) -> bool:
         """Whether no output can overflow, states being within 1; else maxima are taken off first."""
         most = (np.abs(w).sum(axis=a).max() + np.abs(b).max() for w, a, b in ((self.to_class, 0, self.class_bias), (self.to_word, 1, self.word_bias)))
-        return max(most) < 70
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        g = h @ self.state
-        zr = np.tanh(0.5 * (x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]))
-        zr *= 0.5
-        zr += 0.5
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        gn = g[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
-        return n + z * (h - n), z, r, n, gn
+        return max(most) < 60
+
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Copies of the input table and the recurrent weights with one block for each of update, reset and new
+        state, so that work on a gate is on contiguous numbers; the first two halved, for ``step``."""
+        table = np.ascontiguousarray(self.table.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+        state = np.ascontiguousarray(self.state.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+        table[:2] *= 0.5
+        state[:2] *= 0.5
+        return table, state
 
     def outputs(self, h: np.ndarray, kind: np.ndarray, word: np.ndarray, grad: Model | None = None):
-        """Natural log probabilities of (class, word within an own class) after states ``h``;
-        ``word`` is the row of an own word. With ``grad`` also gradients of their mean, negated."""
-        n = len(h)
-        tame = self.tame
-        p = h @ self.to_class
-        p += self.class_bias
-        if not tame:
-            p -= p.max(axis=1, keepdims=True)
-        out = p[np.arange(n), kind].astype(np.float64)
-        np.exp(p, out=p)
-        total = p.sum(axis=1)
-        out -= np.log(total)
-        dh = None
-        if grad is not None:
-            p /= total[:, None]
-            p[np.arange(n), kind] -= 1
-            p /= n
-            grad.to_class += h.T @ p
-            grad.class_bias += p.sum(axis=0)
-            dh = p @ self.to_class.T
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if not len(rows):
-                continue
-            own = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            hc = h[rows]
-            q = hc @ self.to_word[own].T
-            q += self.word_bias[own]
+        """Natural log probabilities of (class, word within an own class) after states ``h``; ``word`` is the
+        row of an own word. With ``grad``, instead of them, gradients of their mean, negated, by weight and state.
+
+        Own words are sorted by class, so a class is a slice; a column of ones carries the biases. Classes are
+        done in blocks of ``BLOCK`` states, which stay in cache."""
+        n, tame = len(h), self.tame
+        kind = kind.astype(np.uint8)
+        wide = np.empty((n, HIDDEN + 1), np.float32)
+        wide[:, :HIDDEN] = h
+        wide[:, HIDDEN] = 1
+        out = np.empty(n) if grad is None else None
+        dh = np.empty_like(h) if grad is not None else None
+
+        to_class = np.vstack([self.to_class, self.class_bias])
+        ones = np.ones(to_class.shape[1], np.float32)
+        whole = np.empty((min(n, BLOCK), len(ones)), np.float32)
+        for a in range(0, n, BLOCK):
+            at = slice(a, min(a + BLOCK, n))
+            p = np.matmul(wide[at], to_class, out=whole[: at.stop - a])
             if not tame:
-                q -= q.max(axis=1, keepdims=True)
-            place, at = word[rows] - c * CLASS_WORDS, np.arange(len(rows))
-            hit = q[at, place]
-            np.exp(q, out=q)
-            sums = q.sum(axis=1)
-            out[rows] += hit - np.log(sums)
-            if grad is not None:
-                q /= sums[:, None]
-                q[at, place] -= 1
-                q /= n
-                grad.to_word[own] += q.T @ hc
-                grad.word_bias[own] += q.sum(axis=0)
-                dh[rows] += q @ self.to_word[own]
-        return out, dh
+                p -= p.max(axis=1, keepdims=True)
+            hit = np.arange(0, p.size, len(ones)) + kind[at]
+            if grad is None:
+                right = p.ravel()[hit]
+            np.exp(p, out=p)
+            total = p @ ones
+            if grad is None:
+                out[at] = right - np.log(total)
+                continue
+            p.ravel()[hit] -= total
+            share = (1 / (n * total))[:, None]
+            by_class = (wide[at] * share).T @ p
+            grad.to_class += by_class[:HIDDEN]
+            grad.class_bias += by_class[HIDDEN]
+            np.multiply(p @ self.to_class.T, share, out=dh[at])
+
+        order = np.argsort(kind, kind="stable")
+        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        order = order[: bounds[-1]]
+        spans = [(c, slice(a, b)) for c, (a, b) in enumerate(itertools.pairwise(bounds)) if a < b]
+        own = wide[order]
+        to_word = np.concatenate([self.to_word, self.word_bias[:, None]], axis=1).reshape(CLASSES, CLASS_WORDS, HIDDEN + 1)
+        q = np.empty((len(order), CLASS_WORDS), np.float32)
+        for c, at in spans:
+            np.matmul(own[at], to_word[c].T, out=q[at])
+        if not tame:
+            q -= q.max(axis=1, keepdims=True)
+        hit = np.arange(0, q.size, CLASS_WORDS) + word[order] % CLASS_WORDS
+        if grad is None:
+            right = q.ravel()[hit]
+        np.exp(q, out=q)
+        total = q @ np.ones(CLASS_WORDS, np.float32)
+        if grad is None:
+            out[order] += right - np.log(total)
+            return out, None
+        q.ravel()[hit] -= total
+        q *= (1 / (n * total))[:, None]
+        by_word = np.zeros_like(to_word)
+        back = np.empty_like(own)
+        for c, at in spans:
+            np.matmul(q[at].T, own[at], out=by_word[c])
+            np.matmul(q[at], to_word[c], out=back[at])
+        by_word = by_word.reshape(-1, HIDDEN + 1)
+        grad.to_word += by_word[:, :HIDDEN]
+        grad.word_bias += by_word[:, HIDDEN]
+        dh[order] += back[:, :HIDDEN]
+        return None, dh
+
+
+def step(x: np.ndarray, h: np.ndarray, state: np.ndarray, g: np.ndarray, zr: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """State ``out`` after ``h`` and the inputs ``x``, weights being those of ``Model.gates``. ``g``, ``zr`` and
+    ``n`` receive what the gates get from the state, update and reset, and the new state."""
+    np.matmul(h, state, out=g)
+    np.add(x[:2], g[:2], out=zr)
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    np.multiply(zr[1], g[2], out=n)
+    n += x[2]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= zr[0]
+    out += n
+
+
+def sums_by_row(values: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Adds ``values`` to the rows of ``out`` that ``rows`` names."""
+    rows = rows.astype(np.uint16)
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    firsts = np.flatnonzero(np.diff(rows.astype(np.int32), prepend=-1))
+    out[rows[firsts]] += np.add.reduceat(values[order], firsts, axis=0)
 
 
 def train_stream(model: Model, row: np.ndarray, kind: np.ndarray, starts: np.ndarray, rate: float) -> None:
@@ -278,53 +367,83 @@ def train_stream(model: Model, row: np.ndarray, kind: np.ndarray, starts: np.nda
     starts[0] = True
     feed = np.vstack([np.full((1, lanes), START, row.dtype), row[:-1]])
     feed[starts] = START
-    h = np.zeros((lanes, HIDDEN), np.float32)
+    last = np.zeros((lanes, HIDDEN), np.float32)
     first, second = Model.empty(), Model.empty()
+    grad, spare = Model.empty(), np.empty_like(model.flat)
+    # by step: state before and after, gates; then their gradients, one block of lanes for each gate
+    by_step = np.empty((8, STEPS, lanes, HIDDEN), np.float32)
+    old, states, new, by_n, by_z, by_r = by_step[:6]
+    keep = by_step[6]
+    zr, g, dg = (np.empty((STEPS, k, lanes, HIDDEN), np.float32) for k in (2, 3, 3))
+    to_old = np.empty((3, lanes, HIDDEN), np.float32)
     windows = [*range(0, length, STEPS)] * max(1, -(-UPDATES * STEPS // length))
     for t, a in enumerate(windows, 1):
         b = min(a + STEPS, length)
-        x = model.table[feed[a:b]]
-        kept = (~starts[a:b]).astype(np.float32)[:, :, None]
-        before, caches, states = [], [], []
-        for i in range(b - a):
-            h = h * kept[i]
-            before.append(h)
-            h, *cache = model.step(x[i], h)
-            caches.append(cache)
-            states.append(h)
-        grad = Model.empty()
-        flat = np.concatenate(states)
-        old, (z, r, n, gn) = np.stack(before), map(np.stack, zip(*caches, strict=True))
-        by_n, by_z, by_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), gn * r * (1 - r)
-        _, dh_out = model.outputs(flat, kind[a:b].ravel(), row[a:b].ravel(), grad)
-        dh_out = dh_out.reshape(b - a, lanes, HIDDEN)
-        dx = np.empty((b - a, lanes, 3 * HIDDEN), np.float32)
-        dg = np.empty_like(dx)
-        dh = np.zeros_like(h)
-        for i in range(b - a - 1, -1, -1):
-            dh = dh + dh_out[i]
-            dn = dh * by_n[i]
-            dx[i, :, :HIDDEN] = dh * by_z[i]
-            dx[i, :, HIDDEN : 2 * HIDDEN] = dn * by_r[i]
-            dx[i, :, 2 * HIDDEN :] = dn
-            dg[i, :, : 2 * HIDDEN] = dx[i, :, : 2 * HIDDEN]
-            dg[i, :, 2 * HIDDEN :] = dn * r[i]
-            dh = (dh * z[i] + dg[i] @ model.state.T) * kept[i]
-        grad.state += old.reshape(-1, HIDDEN).T @ dg.reshape(-1, 3 * HIDDEN)
-        fed = feed[a:b].ravel()
-        order = np.argsort(fed, kind="stable")
-        fed = fed[order]
-        firsts = np.flatnonzero(np.diff(fed, prepend=-1))
-        grad.table[fed[firsts]] += np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], firsts, axis=0)
+        k = b - a
+        table, state = model.gates()
+        x = np.take(table, feed[a:b], axis=1)
+        opened = [np.flatnonzero(s) for s in starts[a:b]]
+        for i in range(k):
+            old[i] = last
+            old[i, opened[i]] = 0
+            last = states[i]
+            step(x[:, i], old[i], state, g[i], zr[i], new[i], last)
+        last = last.copy()
+        grad.flat[:] = 0
+        _, dh_out = model.outputs(states[:k].reshape(-1, HIDDEN), kind[a:b].ravel(), row[a:b].ravel(), grad)
+        dh_out = dh_out.reshape(k, lanes, HIDDEN)
+        z, r = zr[:k, 0], zr[:k, 1]
+        # by_n = (1 - z)(1 - n n), by_z = (old - n) z (1 - z), by_r = gn r (1 - r)
+        np.subtract(1, z, out=keep[:k])
+        np.multiply(new[:k], new[:k], out=by_n[:k])
+        np.subtract(1, by_n[:k], out=by_n[:k])
+        by_n[:k] *= keep[:k]
+        np.subtract(old[:k], new[:k], out=by_z[:k])
+        by_z[:k] *= z
+        by_z[:k] *= keep[:k]
+        np.subtract(1, r, out=by_r[:k])
+        by_r[:k] *= r
+        by_r[:k] *= g[:k, 2]
+        state[:2] *= 2
+        back = state.transpose(0, 2, 1)
+        dx_n = by_step[7]
+        dh = np.zeros((lanes, HIDDEN), np.float32)
+        for i in range(k - 1, -1, -1):
+            dh += dh_out[i]
+            d, dn = dg[i], dx_n[i]
+            np.multiply(dh, by_n[i], out=dn)
+            np.multiply(dh, by_z[i], out=d[0])
+            np.multiply(dn, by_r[i], out=d[1])
+            np.multiply(dn, r[i], out=d[2])
+            np.matmul(d, back, out=to_old)
+            dh *= z[i]
+            dh += to_old[0]
+            dh += to_old[1]
+            dh += to_old[2]
+            dh[opened[i]] = 0
+        dx = np.empty((k, lanes, 3, HIDDEN), np.float32)
+        dx[:, :, :2] = dg[:k, :2].transpose(0, 2, 1, 3)
+        dx[:, :, 2] = dg[:k, 2]
+        flat = old[:k].reshape(-1, HIDDEN).T
+        grad.state += flat @ dx.reshape(-1, 3 * HIDDEN)
+        dx[:, :, 2] = dx_n[:k]
+        sums_by_row(dx.reshape(-1, 3 * HIDDEN), feed[a:b].ravel(), grad.table)
         norm = float(np.linalg.norm(grad.flat))
         if norm > 1:
             grad.flat /= norm
+        # Adam; the moments lack their factors 0.1 and 0.01, which the corrections for the start have instead
         first.flat *= 0.9
-        first.flat += 0.1 * grad.flat
+        first.flat += grad.flat
         second.flat *= 0.99
-        second.flat += 0.01 * grad.flat * grad.flat
+        np.multiply(grad.flat, grad.flat, out=spare)
+        second.flat += spare
         warm = rate * min(1.0, t / 10) * (1 - 0.8 * t / len(windows))
-        model.flat -= warm * (first.flat / (1 - 0.9**t)) / (np.sqrt(second.flat / (1 - 0.99**t)) + 1e-6)
+        np.multiply(second.flat, 0.01 / (1 - 0.99**t), out=spare)
+        np.sqrt(spare, out=spare)
+        spare += 1e-6
+        np.divide(first.flat, spare, out=spare)
+        spare *= warm * 0.1 / (1 - 0.9**t)
+        model.flat -= spare
 
 
 def score_documents(model: Model, rows: list[np.ndarray], kinds: list[np.ndarray]) -> np.ndarray:
@@ -339,8 +458,8 @@ def score_documents(model: Model, rows: list[np.ndarray], kinds: list[np.ndarray
         load[lane] += lengths[d]
     order = np.argsort(-load, kind="stable")
     depth = int(load.max())
-    row = np.zeros((depth, lanes), np.int32)
-    kind = np.zeros((depth, lanes), np.int32)
+    row = np.zeros((depth, lanes), np.uint16)
+    kind = np.zeros((depth, lanes), np.uint8)
     doc = np.zeros((depth, lanes), np.int32)
     starts = np.zeros((depth, lanes), bool)
     for place, lane in enumerate(order):
@@ -351,21 +470,28 @@ def score_documents(model: Model, rows: list[np.ndarray], kinds: list[np.ndarray
             starts[at, place] = True
             at = end
     active = np.searchsorted(-load[order], -np.arange(1, depth + 1), side="right")  # lanes with a token at each step
-    feed = np.vstack([np.full((1, lanes), START, np.int32), row[:-1]])
+    feed = np.vstack([np.full((1, lanes), START, row.dtype), row[:-1]])
     feed[starts] = START
-    h = np.zeros((lanes, HIDDEN), np.float32)
+    table, state = model.gates()
+    last = np.zeros((lanes, HIDDEN), np.float32)
     out = np.zeros(len(rows))
-    for a in range(0, depth, 2 * STEPS):
-        b = min(a + 2 * STEPS, depth)
-        width = int(active[a])
-        x = model.table[feed[a:b, :width]]
-        h = h[:width]
+    b = 0
+    while b < depth:
+        a, width = b, int(active[b])
+        b = min(a + STEPS * LANES // width, depth)  # fewer lanes, more steps
+        x = np.take(table, feed[a:b, :width], axis=1)
+        last = last[:width]
         states = np.empty((b - a, width, HIDDEN), np.float32)
-        kept = (~starts[a:b, :width]).astype(np.float32)[:, :, None]
+        zr, g = (np.empty((k, width, HIDDEN), np.float32) for k in (2, 3))
+        new = np.empty((width, HIDDEN), np.float32)
         for i in range(b - a):
-            h = model.step(x[i], h * kept[i])[0]
-            states[i] = h
-        live = np.arange(width)[None, :] < active[a:b, None]
+            opened = np.flatnonzero(starts[a + i, :width])
+            if len(opened):
+                last = last.copy()
+                last[opened] = 0
+            step(x[:, i], last, state, g, zr, new, states[i])
+            last = states[i]
+        live = np.arange(width) < active[a:b, None]
         logs, _ = model.outputs(states[live], kind[a:b, :width][live], row[a:b, :width][live])
         out += np.bincount(doc[a:b, :width][live], logs, len(rows))
     return out
@@ -423,51 +549,62 @@ READ = (
 def _reader(shared):
     """Documents as the model sees them: input rows and output classes of their tokens, two bytes and
     one each; what the counts of known words give; and the words to look up."""
-    kinds_of = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
+    entry = pa.struct([("word", pa.binary()), ("times", pa.int32())])
     names = ["row_id", "doc_id", "n_tokens", "n_known", "log_counts", "log_shares", "far", "row", "kind"]
 
+    def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], ends]) * data.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
-        log_mass = np.log10(v.other_mass)
         number = itertools.count(TaskContext.get().partitionId() << 33)
-        held: list[tuple] = []
-        size = 0
+        docs: list[int | None] = []
+        lengths: list[int] = []
+        words: list[bytes] = []
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True)) if held else [()] * 8
-            far = columns[5]
-            words = pa.array([w for f in far for w in f], pa.binary())
-            times = pa.array([n for f in far for n in f.values()], pa.int32())
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in far])]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([words, times], fields=list(kinds_of.value_type)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), None, pa.binary(), pa.binary()]
-            arrays = [lists if k is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            ids = pa.array([next(number) for _ in held], pa.int64())
-            held.clear()
-            return pa.RecordBatch.from_arrays([ids, *arrays], names=names)
+            """The documents held, read together."""
+            n = np.array(lengths, np.int64)
+            ends = np.cumsum(n)
+            begin = ends - n
+            at, row, kind = v.read(words)
+            known = at >= 0
+            by_count, by_share = np.zeros(len(at)), np.zeros(len(at))
+            by_count[known] = v.log_count[at[known]]
+            # log10 of (c + 0.1) of known words outside the model's own over their class's; unknown ones' c comes by the join
+            by_share[known] = v.log_share[at[known]]
+            by_share[~known] = -v.log_mass[kind[~known] - CLASSES]
+            sums = [np.add.reduceat(x, begin) if len(n) else x for x in (known.astype(np.int64), by_count, by_share)]
+            places = np.flatnonzero(~known)
+            far = [words[i] for i in places.tolist()]
+            bounds = np.concatenate([[0], np.searchsorted(places, ends)]).tolist()
+            counted = [Counter(far[a:b]) for a, b in itertools.pairwise(bounds)]
+            listed = pa.array([w for c in counted for w in c], pa.binary())
+            times = pa.array([t for c in counted for t in c.values()], pa.int32())
+            offsets = pa.array(np.cumsum([0, *map(len, counted)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([listed, times], fields=list(entry)))
+            ids = pa.array([next(number) for _ in docs], pa.int64())
+            arrays = [ids, pa.array(docs, pa.int64()), pa.array(n), *map(pa.array, sums), lists, binaries(row.astype("<u2", copy=False), ends), binaries(kind, ends)]
+            for held in (docs, lengths, words):
+                held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words = tokens(text.as_py())
-                at, row, kind = v.read(words)
-                known = at[at >= 0]
-                far = Counter(words[i] for i in np.flatnonzero(at < 0))
-                other = kind >= CLASSES
-                # log10 of (c + 0.1) of known words outside the model's own; unknown ones come by the join
-                shares = float(v.log_count[known[known >= v.own]].sum()) - float(log_mass[kind[other] - CLASSES].sum())
-                packed = row.astype("<u2").tobytes(), kind.astype(np.uint8).tobytes()
-                held.append((doc, len(words), len(known), float(v.log_count[known].sum()), shares, far, *packed))
-                size += len(words)
-                if size >= READ_TOKENS:
+                found = tokens(text.as_buffer())
+                docs.append(doc)
+                lengths.append(len(found))
+                words += found
+                if len(words) >= READ_TOKENS:
                     yield out()
-                    size = 0
         yield out()
 
     return run
 
 
 def unpacked(row: pa.Scalar, kind: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row.as_buffer(), "<u2").astype(np.int32), np.frombuffer(kind.as_buffer(), np.uint8).astype(np.int32)
+    return np.frombuffer(row.as_buffer(), "<u2"), np.frombuffer(kind.as_buffer(), np.uint8)
 
 
 def _trainer(weights, rate: float):

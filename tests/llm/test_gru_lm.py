@@ -247,3 +247,112 @@ def test_a_word_of_any_length_is_counted(spark):
     long = "x" * 100_000
     docs = [(i, f"{long} a b" if i % 2 else "a b") for i in range(40)]
     assert digest(run(spark, docs)) == brute(docs)
+
+
+def test_classes_of_many_words():
+    rng = np.random.default_rng(4)
+    parts = [b"a", b"Z", b"0", b".", b",", b"-", b"\xc3", b"\xa4", b"\xbc", b"\xb1", b"\xa1", b"\xa9", b"\xe4\xb8\xad", b"longer than"]
+    words = [b"", b"\xc3", b"\xa4", *(b"".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 7, 5000))]
+    assert op.other_classes(words).tolist() == [op.other_class(w) for w in words]
+    assert op.other_classes([]).tolist() == [] and op.other_classes([b""]).tolist() == [op.other_class(b"")]
+
+
+def test_work_comes_in_large_pieces(monkeypatch):
+    """Neither many short documents nor a long one cost a call of the costly parts for every few tokens."""
+    v, calls = small_vocabulary(), []
+    read, outputs = op.Vocabulary.read, op.Model.outputs
+    monkeypatch.setattr(op.Vocabulary, "read", lambda self, words: calls.append(len(words)) or read(self, words))
+    monkeypatch.setattr(op.Model, "outputs", lambda self, h, *rest: calls.append(len(h)) or outputs(self, h, *rest))
+    monkeypatch.setattr(op, "_vocabulary", lambda shared: v)
+    monkeypatch.setattr(op.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    docs = op.pa.RecordBatch.from_arrays([op.pa.array(range(400), op.pa.int64()), op.pa.array(["a b d"] * 400)], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in op._reader(None)(iter([docs]))) == 400
+    assert len(calls) < 5 and sum(calls) == 1600
+    calls.clear()
+    long = np.zeros(20_000, np.int32)
+    op.score_documents(op.Model.initial(v), [long, long[:3]], [long, long[:3]])
+    assert len(calls) < 10 and sum(calls) == 20_003
+
+
+def plain_training(model, row, kind, starts, rate, lanes):
+    """``train_stream`` by the definition: one token at a time, in double precision."""
+    k, length = op.HIDDEN, len(row) // lanes
+    w = {n: getattr(model, n).astype(np.float64) for n, _ in op.SHAPES}
+    first, second = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x) / np.exp(x).sum()
+    h = np.zeros((lanes, k))
+    windows = [*range(0, length, op.STEPS)] * max(1, -(-op.UPDATES * op.STEPS // length))
+    for t, a in enumerate(windows, 1):
+        b = min(a + op.STEPS, length)
+        grad, n = {name: np.zeros_like(x) for name, x in w.items()}, (b - a) * lanes
+        for lane in range(lanes):
+            past = []
+            for i in range(a, b):
+                at = lane * length + i
+                opens = i == 0 or starts[at]
+                fed, old = (op.START, np.zeros(k)) if opens else (row[at - 1], h[lane].copy())
+                x, g = w["table"][fed], old @ w["state"]
+                z, r = sigmoid(x[:k] + g[:k]), sigmoid(x[k : 2 * k] + g[k : 2 * k])
+                new = np.tanh(x[2 * k :] + r * g[2 * k :])
+                h[lane] = (1 - z) * new + z * old
+                past.append((at, opens, fed, old, g[2 * k :], z, r, new, h[lane].copy()))
+            back = np.zeros(k)
+            for at, opens, fed, old, g, z, r, new, state in reversed(past):
+                p = softmax(state @ w["to_class"] + w["class_bias"])
+                p[kind[at]] -= 1
+                grad["to_class"] += np.outer(state, p) / n
+                grad["class_bias"] += p / n
+                back = back + w["to_class"] @ p / n
+                if kind[at] < op.CLASSES:
+                    own = slice(kind[at] * op.CLASS_WORDS, (kind[at] + 1) * op.CLASS_WORDS)
+                    q = softmax(w["to_word"][own] @ state + w["word_bias"][own])
+                    q[row[at] - own.start] -= 1
+                    grad["to_word"][own] += np.outer(q, state) / n
+                    grad["word_bias"][own] += q / n
+                    back += q @ w["to_word"][own] / n
+                dn = back * (1 - z) * (1 - new * new)
+                dx = np.concatenate([back * (old - new) * z * (1 - z), dn * g * r * (1 - r), dn])
+                dg = np.concatenate([dx[: 2 * k], dn * r])
+                grad["table"][fed] += dx
+                grad["state"] += np.outer(old, dg)
+                back = np.zeros(k) if opens else back * z + w["state"] @ dg
+        norm = math.sqrt(sum((x * x).sum() for x in grad.values()))
+        for name, x in grad.items():
+            x /= max(norm, 1)
+            first[name] = 0.9 * first[name] + 0.1 * x
+            second[name] = 0.99 * second[name] + 0.01 * x * x
+            warm = rate * min(1.0, t / 10) * (1 - 0.8 * t / len(windows))
+            w[name] -= warm * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.99**t)) + 1e-6)
+    return w
+
+
+@pytest.mark.parametrize("updates, lanes", [(2, 10), (4, 8)])  # one pass and two, each with a short last window
+def test_training_against_a_plain_one(monkeypatch, updates, lanes):
+    monkeypatch.setattr(op, "UPDATES", updates)
+    rng = np.random.default_rng(5)
+    model = op.Model(rng.normal(0, 0.3, len(op.Model.empty().flat)).astype(np.float32))
+    before = op.Model(model.flat.copy())
+    row = np.where(rng.random(350) < 0.5, rng.integers(0, op.MODEL_WORDS, 350), rng.integers(op.MODEL_WORDS, op.START, 350))
+    kind = np.where(row < op.MODEL_WORDS, row // op.CLASS_WORDS, row - op.MODEL_WORDS + op.CLASSES)
+    starts = rng.random(350) < 0.1
+    want = plain_training(model, row, kind, starts, 0.05, lanes)
+    op.train_stream(model, row.astype(np.uint16), kind.astype(np.uint8), starts, 0.05)
+    for name, _ in op.SHAPES:
+        moved = np.abs(want[name] - getattr(before, name)).max()
+        assert moved > 0.01 and np.abs(want[name] - getattr(model, name)).max() < 0.01 * moved, name
+
+
+def test_large_biases_change_nothing():
+    rng = np.random.default_rng(6)
+    model = op.Model(rng.normal(0, 0.3, len(op.Model.empty().flat)).astype(np.float32))
+    high = op.Model(model.flat.copy())
+    high.class_bias += 200
+    high.word_bias += 200
+    assert model.tame and not high.tame
+    h, word = rng.normal(0, 0.5, (3000, op.HIDDEN)).astype(np.float32), rng.integers(0, op.MODEL_WORDS, 3000)
+    kind = np.where(rng.random(3000) < 0.5, word // op.CLASS_WORDS, op.CLASSES + word % op._OTHER)
+    assert np.allclose(model.outputs(h, kind, word)[0], high.outputs(h, kind, word)[0], atol=1e-3)
+    grads = op.Model.empty(), op.Model.empty()
+    by_state = [m.outputs(h, kind, word, g)[1] for m, g in zip((model, high), grads, strict=True)]
+    assert np.allclose(*by_state, atol=1e-6) and np.allclose(grads[0].flat, grads[1].flat, atol=1e-4)
