@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import single_ws_cased
+from ..functions.tokens import single_ws, single_ws_cased
 from ..joins import attach
 from ..scratch import persist_table
 
-
 def neighbours(tokens: Column, window: int = 1) -> Column:
     """Array of (w, u) for every position and every other position at most ``window`` away."""
     n = F.size(tokens)
@@ -26,11 +25,40 @@ def neighbours(tokens: Column, window: int = 1) -> Column:
     return F.concat(*[at(d) for d in range(1, window + 1)])
 
 
+def _side_by_side(tokens: Column, window: int) -> Column:
+    """Array of (a, b): every two positions at most ``window`` apart, once."""
+
+    def at(distance: int) -> Column:
+        n = F.greatest(F.size(tokens) - distance, F.lit(0))
+        return F.arrays_zip(F.slice(tokens, 1, n).alias("a"), F.slice(tokens, 1 + distance, n).alias("b"))
+
+    return F.concat(*[at(d) for d in range(1, window + 1)])
+
+
+def _pair_key(a: Column, b: Column) -> Column:
+    """One text for two tokens in either order; tokens have no blanks, so a blank parts them."""
+    return F.concat_ws(" ", F.least(a, b), F.greatest(a, b))
+
+
+def _both_ways(counted: DataFrame) -> DataFrame:
+    """(w, u, n) of pairs counted by ``_pair_key``: each in both orders, two equal tokens once and twice as often."""
+    parts = counted.select(F.substring_index("pair", " ", 1).alias("a"), F.substring_index("pair", " ", -1).alias("b"), "n")
+    equal = F.col("a") == F.col("b")
+    turned = F.explode(F.when(equal, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("turned")
+    sides = parts.select("a", "b", F.when(equal, 2 * F.col("n")).otherwise(F.col("n")).alias("n"), turned)
+    return sides.select(F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("w"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("u"), "n")
+
+
+def _pair_counts(lines: DataFrame, text_col: str, window: int) -> DataFrame:
+    """(pair, n), in lower case. Neighbourhood is symmetric, so half of the pairs are counted, each by a single text."""
+    tokens = lines.select(single_ws(F.col(text_col)).alias("t"))
+    found = tokens.select(F.inline(_side_by_side(F.col("t"), window)).alias("a", "b"))
+    return found.groupBy(_pair_key(F.col("a"), F.col("b")).alias("pair")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def pairs(lines: DataFrame, text_col: str = "value", window: int = 1) -> DataFrame:
-    """(w, u, n), both in lower case."""
-    tokens = F.transform(single_ws_cased(F.col(text_col)), F.lower)
-    found = lines.select(tokens.alias("t")).select(F.explode(neighbours(F.col("t"), window)).alias("p"))
-    return found.groupBy(F.col("p.w").alias("w"), F.col("p.u").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    """(w, u, n), both in lower case: how often ``u`` stands at most ``window`` from ``w``."""
+    return _both_ways(_pair_counts(lines, text_col, window))
 
 
 def stripe_counts(lines: DataFrame, text_col: str = "value", window: int = 1) -> DataFrame:

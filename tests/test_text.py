@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import os
+import re
+from collections import Counter
 from types import SimpleNamespace
 
 import pytest
@@ -132,6 +134,26 @@ def test_window_is_symmetric_and_a_star_is_a_word(spark, rows):
     assert counted["*", "*"] == 2 and ("p", "t") not in counted and counted["p", "s"] == 1
 
 
+ODD = ["The the THE cat", " a  b\ta", "", "   ", "x \u2028", "É é e\u0301", "solo", "* x * y", "p q r s t", "Solo", "\x0b\x0cz"]
+
+
+def plain_pairs(lines, window):
+    """Words of a line by the rules of single blanks, as written, and all pairs of them."""
+    split = [re.split(r"[ \t\n\x0b\f\r]", t) if (t := x.rstrip(" \t\n\x0b\f\r")) else [""] * (x == "") for x in lines]
+    return split, [(w, t[j].lower()) for t in split for i, w in enumerate(t) for j in range(len(t)) if 0 < abs(i - j) <= window]
+
+
+@pytest.mark.parametrize("window", [1, 2, 4])
+def test_pairs_are_counted_in_one_order(spark, rows, window):
+    """Against brute force; the exchange gets one text for two words, made by compiled expressions."""
+    lines = spark.createDataFrame([(x,) for x in [*ODD, None]], "value string")
+    got = cooccurrence.pairs(lines, window=window)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and len(re.findall(r"Exchange hashpartitioning\(\w+#\d+, \d+\)", plan)) == 1
+    want = Counter((w.lower(), u) for w, u in plain_pairs(ODD, window)[1])
+    assert rows(got) == sorted(((w, u, n) for (w, u), n in want.items()), key=repr)
+
+
 def test_inverted_index(spark, rows):
     docs = spark.createDataFrame([(1, "The cat sat. The cat!"), (2, "Cat it's were-wolf"), (10, "sat"), (11, None)], "doc_id long, text string")
     tf = index.term_frequencies(docs)
