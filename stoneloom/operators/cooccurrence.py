@@ -61,6 +61,14 @@ def pairs(lines: DataFrame, text_col: str = "value", window: int = 1) -> DataFra
     return _both_ways(_pair_counts(lines, text_col, window))
 
 
+def totals(lines: DataFrame, text_col: str = "value", window: int = 1) -> DataFrame:
+    """``marginals`` of ``pairs`` without the pairs: the positions around each word that are on its line."""
+    tokens = lines.select(single_ws(F.col(text_col)).alias("t"))
+    placed = tokens.select(F.size("t").alias("size"), F.posexplode("t").alias("i", "w"))
+    around = F.least(F.col("i"), F.lit(window)) + F.least(F.col("size") - 1 - F.col("i"), F.lit(window))
+    return placed.where("size > 1").groupBy("w").agg(F.sum(around).alias("n"))
+
+
 def stripe_counts(lines: DataFrame, text_col: str = "value", window: int = 1) -> DataFrame:
     """(w, u, n) with ``w`` as written and ``u`` in lower case; a word alone on its line has one row with null ``u``."""
     tokens = lines.select(single_ws_cased(F.col(text_col)).alias("t"))

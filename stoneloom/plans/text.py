@@ -44,7 +44,7 @@ def cooc_absolute(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cooc_marginals(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.marginals(cooc_pairs(spark, d))
+    return cooccurrence.totals(_lines(spark, d))
 
 
 def cooc_relative(spark: SparkSession, d: str) -> DataFrame:

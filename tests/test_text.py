@@ -12,8 +12,10 @@ from stoneloom import scratch
 from stoneloom.functions.tokens import STOPWORDS, tokenize
 from stoneloom.joins import attach
 from stoneloom.operators import cooccurrence, counting, index
+from stoneloom.plans import text as text_plans
 from stoneloom.sources import parse_log, write_nothing
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LINE = "Hello, hello world! it's  a--b -"
 
 
@@ -137,6 +139,10 @@ def test_window_is_symmetric_and_a_star_is_a_word(spark, rows):
 ODD = ["The the THE cat", " a  b\ta", "", "   ", "x \u2028", "É é e\u0301", "solo", "* x * y", "p q r s t", "Solo", "\x0b\x0cz"]
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
 def plain_pairs(lines, window):
     """Words of a line by the rules of single blanks, as written, and all pairs of them."""
     split = [re.split(r"[ \t\n\x0b\f\r]", t) if (t := x.rstrip(" \t\n\x0b\f\r")) else [""] * (x == "") for x in lines]
@@ -154,6 +160,13 @@ def test_pairs_are_counted_in_one_order(spark, rows, window):
     assert rows(got) == sorted(((w, u, n) for (w, u), n in want.items()), key=repr)
 
 
+@pytest.mark.parametrize("window", [1, 2, 4])
+def test_totals_need_no_pairs(spark, rows, window):
+    lines = spark.createDataFrame([(x,) for x in [*ODD, None]], "value string")
+    assert rows(cooccurrence.totals(lines, window=window)) == rows(cooccurrence.marginals(cooccurrence.pairs(lines, window=window)))
+    assert exchanges(text_plans.cooc_marginals(spark, DATA)) == 1
+
+
 def test_inverted_index(spark, rows):
     docs = spark.createDataFrame([(1, "The cat sat. The cat!"), (2, "Cat it's were-wolf"), (10, "sat"), (11, None)], "doc_id long, text string")
     tf = index.term_frequencies(docs)
