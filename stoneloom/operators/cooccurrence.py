@@ -97,10 +97,10 @@ def marginals(counted: DataFrame) -> DataFrame:
     return counted.groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def with_marginals(counted: DataFrame) -> DataFrame:
+def with_marginals(counted: DataFrame, total: DataFrame | None = None) -> DataFrame:
     """(w, u, n, is_marginal): counts, and a row for each word with its total. The flag, not a mark
-    in ``u``, tells them apart, so no word collides with the mark."""
-    total = marginals(counted).select("w", F.lit(None).cast("string").alias("u"), "n", F.lit(True).alias("is_marginal"))
+    in ``u``, tells them apart, so no word collides with the mark. ``total``: the marginals, if they are at hand."""
+    total = (marginals(counted) if total is None else total).select("w", F.lit(None).cast("string").alias("u"), "n", F.lit(True).alias("is_marginal"))
     return counted.select("w", "u", "n", F.lit(False).alias("is_marginal")).unionByName(total)
 
 

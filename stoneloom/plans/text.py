@@ -40,7 +40,7 @@ def cooc_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cooc_absolute(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.with_marginals(cooc_pairs(spark, d))
+    return cooccurrence.with_marginals(cooc_pairs(spark, d), cooc_marginals(spark, d))
 
 
 def cooc_marginals(spark: SparkSession, d: str) -> DataFrame:

@@ -167,6 +167,13 @@ def test_totals_need_no_pairs(spark, rows, window):
     assert exchanges(text_plans.cooc_marginals(spark, DATA)) == 1
 
 
+def test_totals_at_hand_are_taken(spark, rows):
+    lines = spark.createDataFrame([(x,) for x in ODD], "value string")
+    counted = cooccurrence.pairs(lines)
+    assert rows(cooccurrence.with_marginals(counted, cooccurrence.totals(lines))) == rows(cooccurrence.with_marginals(counted))
+    assert exchanges(text_plans.cooc_absolute(spark, DATA)) == 2
+
+
 def test_inverted_index(spark, rows):
     docs = spark.createDataFrame([(1, "The cat sat. The cat!"), (2, "Cat it's were-wolf"), (10, "sat"), (11, None)], "doc_id long, text string")
     tf = index.term_frequencies(docs)
