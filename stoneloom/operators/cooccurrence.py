@@ -104,10 +104,10 @@ def with_marginals(counted: DataFrame, total: DataFrame | None = None) -> DataFr
     return counted.select("w", "u", "n", F.lit(False).alias("is_marginal")).unionByName(total)
 
 
-def marker_first(counted: DataFrame) -> DataFrame:
+def marker_first(counted: DataFrame, total: DataFrame | None = None) -> DataFrame:
     """``with_marginals`` in parts by word, each word's total before its neighbours, which a reader
     can then divide as they come."""
-    return with_marginals(counted).repartition("w").sortWithinPartitions("w", F.desc("is_marginal"), "u")
+    return with_marginals(counted, total).repartition("w").sortWithinPartitions("w", F.desc("is_marginal"), "u")
 
 
 def relative(counted: DataFrame) -> DataFrame:

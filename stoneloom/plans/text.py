@@ -54,7 +54,7 @@ def cooc_relative(spark: SparkSession, d: str) -> DataFrame:
 def cooc_marker_first(spark: SparkSession, d: str) -> DataFrame:
     """Totals and counts with their place within the word."""
     order = Window.partitionBy("w").orderBy(F.desc("is_marginal"), "u")
-    return cooccurrence.marker_first(cooc_pairs(spark, d)).withColumn("place", F.row_number().over(order))
+    return cooccurrence.marker_first(cooc_pairs(spark, d), cooc_marginals(spark, d)).withColumn("place", F.row_number().over(order))
 
 
 def cooc_window2(spark: SparkSession, d: str) -> DataFrame:

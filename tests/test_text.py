@@ -174,6 +174,13 @@ def test_totals_at_hand_are_taken(spark, rows):
     assert exchanges(text_plans.cooc_absolute(spark, DATA)) == 2
 
 
+def test_marker_first_with_totals_at_hand(spark, rows):
+    lines = spark.createDataFrame([(x,) for x in ODD], "value string")
+    counted = cooccurrence.pairs(lines)
+    assert rows(cooccurrence.marker_first(counted, cooccurrence.totals(lines))) == rows(cooccurrence.marker_first(counted))
+    assert exchanges(text_plans.cooc_marker_first(spark, DATA)) == 3
+
+
 def test_inverted_index(spark, rows):
     docs = spark.createDataFrame([(1, "The cat sat. The cat!"), (2, "Cat it's were-wolf"), (10, "sat"), (11, None)], "doc_id long, text string")
     tf = index.term_frequencies(docs)
