@@ -110,9 +110,13 @@ def marker_first(counted: DataFrame, total: DataFrame | None = None) -> DataFram
     return with_marginals(counted, total).repartition("w").sortWithinPartitions("w", F.desc("is_marginal"), "u")
 
 
-def relative(counted: DataFrame) -> DataFrame:
+def relative(counted: DataFrame, total: DataFrame | None = None) -> DataFrame:
     """(w, u, n, f): share of ``u`` among the neighbours of ``w``. Totals of frequent words are
-    broadcast, so that their many neighbours need not meet in one task."""
-    counted = persist_table(counted, "pairs")
-    totals = counted.groupBy("w").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
-    return attach(counted, persist_table(totals, "totals"), "w", "rows", ["u"]).select("w", "u", "n", (F.col("n") / F.col("total")).alias("f"))
+    broadcast, so that their many neighbours need not meet in one task. ``total``: the marginals, if they are at hand;
+    a word has at most so many different neighbours."""
+    if total is None:
+        counted = persist_table(counted, "pairs")
+        total = counted.groupBy("w").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    else:
+        total = total.select("w", F.col("n").alias("total"), F.col("n").alias("rows"))
+    return attach(counted, persist_table(total, "totals"), "w", "rows", ["u"]).select("w", "u", "n", (F.col("n") / F.col("total")).alias("f"))

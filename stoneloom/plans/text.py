@@ -48,7 +48,7 @@ def cooc_marginals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cooc_relative(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.relative(cooc_pairs(spark, d)).withColumn("f", F.round("f", 6))
+    return cooccurrence.relative(cooc_pairs(spark, d), cooc_marginals(spark, d)).withColumn("f", F.round("f", 6))
 
 
 def cooc_marker_first(spark: SparkSession, d: str) -> DataFrame:

@@ -181,6 +181,16 @@ def test_marker_first_with_totals_at_hand(spark, rows):
     assert exchanges(text_plans.cooc_marker_first(spark, DATA)) == 3
 
 
+def test_shares_write_no_pairs(spark, rows, monkeypatch):
+    lines = spark.createDataFrame([(x,) for x in ODD], "value string")
+    counted = cooccurrence.pairs(lines)
+    assert rows(cooccurrence.relative(counted, cooccurrence.totals(lines))) == rows(cooccurrence.relative(counted))
+    monkeypatch.setattr(scratch, "_written", written := [])
+    text_plans.cooc_relative(spark, DATA)
+    assert [re.sub("-.*", "", os.path.basename(x)) for x in written] == ["totals"]
+    scratch.release_scratch(spark)
+
+
 def test_inverted_index(spark, rows):
     docs = spark.createDataFrame([(1, "The cat sat. The cat!"), (2, "Cat it's were-wolf"), (10, "sat"), (11, None)], "doc_id long, text string")
     tf = index.term_frequencies(docs)
