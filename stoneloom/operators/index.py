@@ -11,9 +11,28 @@ from ..functions.tokens import exploded, is_stopword
 #: block, so no row and no task has to hold all its postings.
 BLOCK_DOCS = 1 << 20
 
+#: Bytes of text whose tokens one task counts, about: the tasks grow in number with the input, not in memory.
+PART_BYTES = 8 << 20
+
+
+def _tasks(docs: DataFrame, text_bytes: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // PART_BYTES))
+
+
+def whole_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` dealt by id before their texts become tokens, so that the texts pass an exchange and not a row
+    for each word of each document. If one id has several rows with more text than a task should get, rows stay where they are."""
+    ids = docs.groupBy(id_col).agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    total, shared = ids.agg(F.sum("bytes"), F.max(F.when(F.col("rows") > 1, F.col("bytes")))).first()
+    return docs if (shared or 0) > PART_BYTES else docs.select(id_col, text_col).repartition(_tasks(docs, total or 0), id_col)
+
 
 def term_frequencies(docs: DataFrame, mode: str = "alnum", stopwords: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, tf). ``stopwords``: leave them out."""
+    return _counted(whole_documents(docs, id_col, text_col), mode, stopwords, id_col, text_col)
+
+
+def _counted(docs: DataFrame, mode: str, stopwords: bool, id_col: str, text_col: str) -> DataFrame:
     terms = exploded(docs, text_col, mode, F.col(id_col).alias("doc_id"))
     if stopwords:
         terms = terms.where(~is_stopword(F.col("term")))
@@ -22,8 +41,8 @@ def term_frequencies(docs: DataFrame, mode: str = "alnum", stopwords: bool = Tru
 
 def line_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, tf) by single blanks, line by line, every word counted."""
-    lines = docs.select(id_col, F.explode(F.split(text_col, "\n")).alias("value"))
-    return term_frequencies(lines, "single_ws", False, id_col, "value")
+    lines = whole_documents(docs, id_col, text_col).select(id_col, F.explode(F.split(text_col, "\n")).alias("value"))
+    return _counted(lines, "single_ws", False, id_col, "value")
 
 
 def inverted_index(tf: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:

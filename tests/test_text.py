@@ -191,6 +191,19 @@ def test_shares_write_no_pairs(spark, rows, monkeypatch):
     scratch.release_scratch(spark)
 
 
+def test_documents_are_dealt_whole(spark, rows, monkeypatch):
+    """Texts pass the exchange, and words are counted where they are; an id with too much text is counted by its words."""
+    docs = spark.createDataFrame([(i % 40 or None, f"t{i % 5} the one one") for i in range(60)], "doc_id long, text string")
+    want = Counter((t, i % 40 or None) for i in range(60) for t in (f"t{i % 5}", "one", "one"))
+    want = sorted(((t, i, n) for (t, i), n in want.items()), key=repr)
+    assert "hashpartitioning(doc_id" in index.term_frequencies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(index.term_frequencies(docs)) == exchanges(index.line_frequencies(docs)) == 1
+    assert rows(index.term_frequencies(docs)) == want
+    monkeypatch.setattr(index, "PART_BYTES", 20)
+    assert "hashpartitioning(term" in index.term_frequencies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert rows(index.term_frequencies(docs)) == want
+
+
 def test_inverted_index(spark, rows):
     docs = spark.createDataFrame([(1, "The cat sat. The cat!"), (2, "Cat it's were-wolf"), (10, "sat"), (11, None)], "doc_id long, text string")
     tf = index.term_frequencies(docs)
