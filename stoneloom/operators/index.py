@@ -59,12 +59,13 @@ def index_documents(
     docs: DataFrame, mode: str = "alnum", stopwords: bool = True, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS
 ) -> DataFrame:
     """``inverted_index`` of documents with one exchange: tokens are dealt by term and block once, and
-    both the frequencies and the postings are made from these parts."""
+    both the frequencies and the postings are made from these parts, as many as the texts' size asks for."""
     block = F.floor(F.col(id_col) / block_docs)
     terms = exploded(docs, text_col, mode, F.col(id_col).alias("doc_id"), block.alias("block"))
     if stopwords:
         terms = terms.where(~is_stopword(F.col("term")))
-    tf = terms.repartition("term", "block").groupBy("term", "block", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    tasks = _tasks(docs, docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    tf = terms.repartition(tasks, "term", "block").groupBy("term", "block", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     found = tf.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
     return found.select("term", "block", F.size("postings").cast("long").alias("df"), "postings")
 

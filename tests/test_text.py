@@ -204,6 +204,14 @@ def test_documents_are_dealt_whole(spark, rows, monkeypatch):
     assert rows(index.term_frequencies(docs)) == want
 
 
+def test_tasks_of_the_index_grow_with_the_texts(spark, rows, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words " * 10) for i in range(20)], "doc_id long, text string")
+    want = rows(index.index_documents(docs))
+    monkeypatch.setattr(index, "PART_BYTES", 100)
+    assert re.search(r"hashpartitioning\(term#\d+, block#\d+L?, 22\)", index.index_documents(docs)._jdf.queryExecution().executedPlan().toString())
+    assert rows(index.index_documents(docs)) == want
+
+
 def test_inverted_index(spark, rows):
     docs = spark.createDataFrame([(1, "The cat sat. The cat!"), (2, "Cat it's were-wolf"), (10, "sat"), (11, None)], "doc_id long, text string")
     tf = index.term_frequencies(docs)
