@@ -9,20 +9,10 @@ from ..functions.tokens import single_ws, single_ws_cased
 from ..joins import attach
 from ..scratch import persist_table
 
-def neighbours(tokens: Column, window: int = 1) -> Column:
-    """Array of (w, u) for every position and every other position at most ``window`` away."""
-    n = F.size(tokens)
-
-    def at(distance: int) -> Column:
-        steps = F.when(n > distance, F.sequence(F.lit(1), n - distance)).otherwise(F.array().cast("array<int>"))
-
-        def both(i: Column) -> Column:
-            a, b = F.element_at(tokens, i), F.element_at(tokens, i + distance)
-            return F.array(F.struct(a.alias("w"), b.alias("u")), F.struct(b.alias("w"), a.alias("u")))
-
-        return F.flatten(F.transform(steps, both))
-
-    return F.concat(*[at(d) for d in range(1, window + 1)])
+#: Words that only stood alone may be sent to every task up to so many bytes.
+BROADCAST_BYTES = 1 << 24
+#: Entries of stripes that one task gathers, about.
+TASK_PAIRS = 1 << 19
 
 
 def _side_by_side(tokens: Column, window: int) -> Column:
@@ -69,27 +59,32 @@ def totals(lines: DataFrame, text_col: str = "value", window: int = 1) -> DataFr
     return placed.where("size > 1").groupBy("w").agg(F.sum(around).alias("n"))
 
 
-def stripe_counts(lines: DataFrame, text_col: str = "value", window: int = 1) -> DataFrame:
-    """(w, u, n) with ``w`` as written and ``u`` in lower case; a word alone on its line has one row with null ``u``."""
-    tokens = lines.select(single_ws_cased(F.col(text_col)).alias("t"))
-    pair = F.when(F.size("t") == 1, F.array(F.struct(F.col("t")[0].alias("w"), F.lit(None).cast("string").alias("u")))).otherwise(
-        neighbours(F.col("t"), window)
-    )
-    found = tokens.select(F.explode(pair).alias("p")).select("p.w", F.lower("p.u").alias("u"))
-    return found.groupBy("w", "u").agg(F.count("u").alias("n"))
-
-
 def stripes(lines: DataFrame, text_col: str = "value", window: int = 1, block_words: int = 1 << 16) -> DataFrame:
-    """(w, block, stripe): maps from neighbour to count. Neighbours are dealt into blocks by a hash,
-    as many as bring a block of the whole vocabulary down to about ``block_words``, so no map grows
-    with the corpus. Words that only stood alone have an empty map in block 0."""
-    counts = persist_table(stripe_counts(lines, text_col, window), "stripes")
-    alone = counts.where("u IS NULL").join(counts.where("u IS NOT NULL").select("w").distinct(), "w", "left_anti")
-    blocks = max(1, -(-counts.agg(F.approx_count_distinct("u")).first()[0] // block_words))
-    block = F.when(F.col("u").isNull(), 0).otherwise(F.pmod(F.xxhash64("u"), F.lit(blocks))).cast("int")
-    entry = F.when(F.col("u").isNotNull(), F.struct("u", "n"))
-    counts = counts.where("u IS NOT NULL").unionByName(alone)
-    return counts.groupBy("w", block.alias("block")).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("stripe"))
+    """(w, block, stripe): maps from neighbour in lower case to count, for words as written. Neighbours are dealt
+    into blocks by a hash, as many as bring a block of the whole vocabulary down to about ``block_words``, so no map grows
+    with the corpus. Words that only stood alone have an empty map in block 0.
+
+    Pairs are counted as written and in one order; both orders meet only in the exchange of the stripes."""
+    tokens = lines.select(single_ws_cased(F.col(text_col)).alias("t"))
+    # a word alone on its line is a text without a blank, which no pair is
+    side = F.when(F.size("t") == 1, F.array(F.struct(F.col("t")[0].alias("a"), F.lit(None).cast("string").alias("b")))).otherwise(_side_by_side(F.col("t"), window))
+    key = F.when(F.col("b").isNull(), F.col("a")).otherwise(_pair_key(F.col("a"), F.col("b")))
+    found = tokens.select(F.inline(side).alias("a", "b")).groupBy(key.alias("pair"))
+    counted = persist_table(found.agg(F.count(F.lit(1)).alias("n")), "stripes")
+    paired = F.contains("pair", F.lit(" "))
+    both = _both_ways(counted.where(paired)).withColumn("u", F.lower("u"))
+    alone = counted.where(~paired).select(F.col("pair").alias("w"))
+    near = both.select("w")
+    if (alone.agg(F.sum(F.octet_length("w") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        near = near.join(F.broadcast(alone), "w", "left_semi")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    alone = alone.join(near.distinct(), "w", "left_anti").select("w", F.lit(0).alias("block"), empty.alias("stripe"))
+    blocks = max(1, -(-both.agg(F.approx_count_distinct("u")).first()[0] // block_words))
+    both = both.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int"))
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * counted.count() // TASK_PAIRS))
+    merged = both.repartition(tasks, "w", "block").groupBy("w", "block", "u").agg(F.sum("n").alias("n"))
+    found = merged.groupBy("w", "block").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("u", "n")))).alias("stripe"))
+    return found.unionByName(alone)
 
 
 def marginals(counted: DataFrame) -> DataFrame:

@@ -160,6 +160,19 @@ def test_pairs_are_counted_in_one_order(spark, rows, window):
     assert rows(got) == sorted(((w, u, n) for (w, u), n in want.items()), key=repr)
 
 
+@pytest.mark.parametrize("window", [1, 2])
+def test_stripes_of_words_as_written(spark, monkeypatch, window):
+    """Against brute force: pairs are counted in one order, as written; stripes are gathered by tasks as many as they need."""
+    monkeypatch.setattr(cooccurrence, "TASK_PAIRS", 8)
+    lines = spark.createDataFrame([(x,) for x in [*ODD, None]], "value string")
+    df = cooccurrence.stripes(lines, window=window, block_words=4)
+    assert df.rdd.getNumPartitions() > 4
+    split, found = plain_pairs(ODD, window)
+    got = [(r["w"], u, n) for r in df.collect() for u, n in (r["stripe"] or {None: 0}).items()]
+    alone = {t[0] for t in split if len(t) == 1} - {w for w, _ in found}
+    assert sorted(got, key=repr) == sorted([*((w, u, n) for (w, u), n in Counter(found).items()), *((w, None, 0) for w in alone)], key=repr)
+
+
 @pytest.mark.parametrize("window", [1, 2, 4])
 def test_totals_need_no_pairs(spark, rows, window):
     lines = spark.createDataFrame([(x,) for x in [*ODD, None]], "value string")
